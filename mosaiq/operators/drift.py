@@ -70,6 +70,11 @@ def containment(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.nullif(F.least(n(a), n(b)), F.lit(0))
 
 
+def ochiai(a: Column, b: Column) -> Column:
+    """Shared tokens against the geometric mean of both sets' sizes, from bottom-k sketches."""
+    return F.size(F.array_intersect(a, b)) / F.nullif(F.sqrt(F.size(a).cast("double") * F.size(b)), F.lit(0.0))
+
+
 def name_similarity(a: Column, b: Column) -> Column:
     """0..1: the better of edit distance without case and separators, and shared name parts (also abbreviated)."""
     flat = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
@@ -153,7 +158,7 @@ def schema_drift(records: DataFrame, scratch: Scratch | None = None) -> dict[str
         pairs = pairs.join(own.toDF("writer", f"{side}_f", f"{side}_own"), ["writer", f"{side}_f"], "left").join(everywhere.toDF(f"{side}_f", f"{side}_all"), f"{side}_f", "left")
     few = F.coalesce(F.least(F.size("old_own"), F.size("new_own")), F.lit(0))  # few own values say little: the names' other writers fill in
     n_own = F.greatest(few, F.lit(0))
-    values = (n_own * F.coalesce(containment(F.col("old_own"), F.col("new_own")), F.lit(0.0)) + PRIOR * F.coalesce(containment(F.col("old_all"), F.col("new_all")), F.lit(0.0))) / (n_own + PRIOR)
+    values = (n_own * F.coalesce(containment(F.col("old_own"), F.col("new_own")), F.lit(0.0)) + PRIOR * F.coalesce(ochiai(F.col("old_all"), F.col("new_all")), F.lit(0.0))) / (n_own + PRIOR)
     weight = WEIGHTS["values"] * values + WEIGHTS["names"] * name_similarity(F.col("old_f"), F.col("new_f"))
     pairs = pairs.select("writer", "file_seq", "file_id", "old_f", "new_f", weight.alias("weight"))
     met = pairs.groupBy("writer", "file_seq", "file_id").agg(F.collect_list("old_f").alias("g"), F.collect_list("new_f").alias("n"), F.collect_list("weight").alias("w"))
@@ -191,3 +196,14 @@ def schema_drift(records: DataFrame, scratch: Scratch | None = None) -> dict[str
         .unionByName(drift(typed.where("kind <> kind_before"), "field", "retyped"))
     )
     return {"changes": changes, "attributes": typed.select("writer", "file_seq", "file_id", "field", F.col("root.field").alias("attribute"), "root", "kind"), "renamed": renamed, "pairs": pairs}
+
+
+def unified(records: DataFrame) -> DataFrame:
+    """All readable records as one table, a row per record and attribute, whatever the field was called.
+
+    Columns: record_id, writer, file_id, attribute (the name under which the attribute began), field (its name in
+    this record), value (JSON text, null for a JSON null).
+    """
+    attrs = schema_drift(records)["attributes"].select("writer", "file_seq", "file_id", "field", "attribute")
+    f = fields(records).select("record_id", "writer", "file_seq", "file_id", F.col("key").alias("field"), F.when(F.col("kind").isNotNull(), F.to_json("value")).alias("value"))
+    return f.join(attrs, ["writer", "file_seq", "file_id", "field"]).select("record_id", "writer", "file_id", "attribute", "field", "value")
