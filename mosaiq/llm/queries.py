@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import neighbours
+from mosaiq.llm import density, mixing, neighbours, packing
 from mosaiq.session import table
 
 # (column, numbers, largest distance that counts as the same)
@@ -22,5 +22,54 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (p5_found,)}
-SQL: dict[str, str] = {}
+CAPACITY = 2048
+_TOKENS = F.coalesce(F.octet_length("text"), F.lit(0))  # a byte-level tokenizer without special tokens
+PCA_STEP = 1.0
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return density.groups_of_anchors(table(spark, d, "cell_expression"), table(spark, d, "cluster_anchors"), 15, PCA_STEP)
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", _TOKENS.alias("n"))
+    return packing.pack(docs, "doc_id", "n", CAPACITY)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).where("n_pieces > 1").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Number of documents, fill and share of capacity used of each container."""
+    return packing.containers(_packed(spark, d), CAPACITY)
+
+
+def _mixed(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    docs = table(spark, d, "documents").select("doc_id", "source", _TOKENS.alias("n"))
+    return mixing.mix(docs, table(spark, d, "mix_targets"), "doc_id", "source", "n")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)["report"].where("short").select("source")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and reached share of each source."""
+    return _mixed(spark, d)["report"]
+
+
+def p7_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture itself: slots in order, with the documents of each."""
+    return _mixed(spark, d)["drawn"]
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p6_found, p6_containers, p7_found, p7_report, p7_drawn)}
+SQL = {
+    "p6_found": "select doc_id from documents where coalesce(strlen(text), 0) > 2048",
+    "p7_found": r"""
+        with d as (select regexp_replace(lower(source), '[\s_-]+', '', 'g') k, sum(coalesce(strlen(text), 0)) size from documents group by 1),
+        t as (select *, regexp_replace(lower(source), '[\s_-]+', '', 'g') k from mix_targets),
+        j as (select t.source, target_share, max_repeats, coalesce(d.size, 0) size from t left join d using (k))
+        select source from j where target_share * (select sum(size) from j) > max_repeats * size""",
+}
