@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import density, mixing, neighbours, packing
+from mosaiq.llm import density, languages, mixing, neighbours, packing
 from mosaiq.session import table
 
 # (column, numbers, largest distance that counts as the same)
@@ -64,7 +64,28 @@ def p7_drawn(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)["drawn"]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p6_found, p6_containers, p7_found, p7_report, p7_drawn)}
+MOST_NAMES = 200_000  # words of item names that may be sent to all tasks
+
+
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    items = table(spark, d, "review_items").where("item_name is not null").select("item_name").distinct().limit(MOST_NAMES + 1).collect()
+    if len(items) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} items; give their names as a table to join")
+    names = languages.name_words(r["item_name"] for r in items)
+    return languages.passages(docs, languages.fit(docs, names=names), names)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.label_errors(_passages(spark, d)).select(F.col("id").alias("doc_id"), "lang")
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Every passage of every document with its language and confidence."""
+    return _passages(spark, d).select(F.col("id").alias("doc_id"), "passage", "lang", "n_words", "confidence")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p6_found, p6_containers, p7_found, p7_report, p7_drawn, p8_found, p8_passages)}
 SQL = {
     "p6_found": "select doc_id from documents where coalesce(strlen(text), 0) > 2048",
     "p7_found": r"""
