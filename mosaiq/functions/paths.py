@@ -161,3 +161,32 @@ def score_text(text: Column) -> Column:
     norm = F.when(n == 2, num(F.get(f, F.lit(1))))
     ok = raw.isNotNull() & ((n != 2) | norm.isNotNull())
     return F.when(ok, F.struct(raw.alias("raw"), norm.alias("normalized")))
+
+
+def legacy_columns(m: Column) -> list[Column]:
+    """The older flat form of parsed metadata: texts for numbers, capitalised names, 0 as null."""
+    text = lambda c: F.nullif(c, F.lit(0)).cast("string")
+    return [
+        m["algorithm_string"].alias("algorithm"),
+        F.when(m["method"] == "preexisting", F.concat(F.lit("Preexisting_"), m["annotation_level"])).otherwise(F.initcap(m["method"])).alias("method"),
+        F.upper(m["data_type"]).alias("data_type"),
+        F.initcap(m["distance"]).alias("distance"),
+        F.when(m["feature_type"] == "env", "envenv").alias("env_type"),
+        m["weighted"].alias("weighted"),
+        text(m["env_k"]).alias("algorithm_k"),
+        text(m["env_k"]).alias("env_k"),
+        F.coalesce(text(m["clustering_k"]), m["resolution_idx"].cast("string")).alias("clustering_k"),
+        m["resolution"].alias("resolution"),
+        m["section"].alias("section_name"),
+    ]
+
+
+def build_path(m: Column, extension: str = ".npy") -> Column:
+    """Relative path of parsed metadata, the inverse of parse_path up to older spellings."""
+    from mosaiq.functions.grids import folder_name, resolution_dirname
+
+    algo = F.when(m["method"] == "preexisting", F.concat(F.lit("Preexisting_"), m["annotation_level"])).otherwise(folder_name(m["method"], m["data_type"], m["distance"], m["env_k"], m["weighted"]))
+    res = F.coalesce(resolution_dirname(m["resolution"]), F.concat(F.lit("res_"), m["resolution_idx"].cast("string")))
+    k = lambda c: F.concat(F.lit("k_"), c.cast("string"))
+    mid = F.when(m["method"] == "lda", F.concat_ws("/", k(m["env_k"]), k(m["clustering_k"]))).when(m["method"] == "kmeans", k(m["clustering_k"])).when(m["method"].isin("leiden", "phenograph"), res)
+    return F.concat_ws("/", algo, mid, F.concat(m["section"], F.lit(extension)))

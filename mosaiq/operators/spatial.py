@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 MILLIMETRES = ("mm",)
 
 
-def positions(cells: DataFrame, sections: DataFrame | None = None) -> DataFrame:
-    """(section, cell_id, x, y) in micrometres, one row per cell: its row with the latest exported_at.
+def positions(cells: DataFrame, sections: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(section, cell_id, x, y, *keep) in micrometres, one row per cell: its row with the latest exported_at.
 
     Rows of a cell with equal exported_at are taken by the largest (x, y, section), a null exported_at counts as
     the earliest. Dropped as without position: null cell_id or section, x or y null or NaN, both exactly 0. Units
     come from ``sections.xy_unit`` (mm in any case, anything else is micrometres); sections that are not listed
     count as micrometres. The latest row decides even if it has no position.
     """
-    latest = cells.where("cell_id is not null").groupBy("cell_id").agg(F.max(F.struct("exported_at", "x", "y", "section")).alias("r"))
-    p = latest.select("cell_id", "r.section", "r.x", "r.y").where("section is not null and x is not null and y is not null and not isnan(x) and not isnan(y) and not (x = 0 and y = 0)")
+    latest = cells.where("cell_id is not null").groupBy("cell_id").agg(F.max(F.struct("exported_at", "x", "y", "section", *keep)).alias("r"))
+    p = latest.select("cell_id", "r.section", "r.x", "r.y", *[f"r.{c}" for c in keep]).where("section is not null and x is not null and y is not null and not isnan(x) and not isnan(y) and not (x = 0 and y = 0)")
     if sections is not None:
         unit = sections.where("section is not null").groupBy("section").agg(F.max(F.lower(F.trim("xy_unit")).isin(*MILLIMETRES)).alias("mm"))
         p = p.join(unit, "section", "left")
         f = F.when(F.col("mm"), F.lit(1000.0)).otherwise(F.lit(1.0))
         p = p.withColumn("x", F.col("x") * f).withColumn("y", F.col("y") * f)
-    return p.select("section", "cell_id", "x", "y")
+    return p.select("section", "cell_id", "x", "y", *keep)
 
 
 def near_pairs(points: DataFrame, radius: float) -> DataFrame:
