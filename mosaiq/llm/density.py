@@ -20,7 +20,7 @@ from mosaiq.llm import vectors
 from mosaiq.llm.vectors import leaf_edges, leaves, route, whole
 from mosaiq.session import Scratch
 
-REGION_ROWS = 15_000  # vertices that are contracted in one task, on average
+REGION_ROWS = 60_000  # vertices that are contracted in one task, on average
 EDGE = "region long, a long, b long, w double, ra long, rb long"
 
 
@@ -130,9 +130,11 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(TREE, a[c], b[c], w[c], name[u[c]], name[v[c]])
     o = np.flatnonzero(own)
     yield out(LABEL, ids[o], ids[o], np.zeros(len(o)), name[o], name[o])
-    rest = np.flatnonzero(label[u] != label[v])
-    none = np.iinfo(np.int64).min  # the label of a foreign end is known elsewhere
-    yield out(REST, a[rest], b[rest], w[rest], np.where(own[u[rest]], name[u[rest]], none), np.where(own[v[rest]], name[v[rest]], none))
+    in_msf = np.zeros(len(a), bool)  # an edge that is the heaviest of a cycle here can't be in the whole forest
+    in_msf[local_forest(u, v, np.ones(len(ids), bool), len(ids))[1]] = True
+    rest = np.flatnonzero((label[u] != label[v]) & in_msf)
+    label_of = lambda end: pa.array(name[end], mask=~own[end])  # noqa: E731  the label of a foreign end is known elsewhere
+    yield out(REST, a[rest], b[rest], w[rest], label_of(u[rest]), label_of(v[rest]))
 
 
 def boruvka(s: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -200,10 +202,11 @@ def spanning_forest(df: DataFrame, id_col: str, vec: str, dim: int, radius: floa
     e = g.mapInArrow(_edge_rows(dim, k, float(radius) ** 2, 2 * leaf, seed, min_samples <= 2, lambda x: route(x, tree)), EDGE)
     if min_samples > 2:
         e = _mutual(s.put(e, "near"), min_samples, k, radius)
-    regions = max(8, -(-rows // REGION_ROWS))
+    regions = max(1, -(-rows // REGION_ROWS))
     c = s.put(e.repartition(regions, "region").mapInArrow(_contract, CONTRACTED), "contracted")
     labels = c.where(f"kind = {LABEL}").select(F.col("a").alias("id"), F.col("la").alias("label"))
     rest = c.where(f"kind = {REST}").groupBy("a", "b").agg(F.min("w").alias("w"), F.max("la").alias("u"), F.max("lb").alias("v"))
+    rest = rest.where("u is not null and v is not null")  # kept in the regions of both ends
     roots, forest = boruvka(s, rest)
     comp = labels.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("component"))
     return c.where(f"kind = {TREE}").select("a", "b", "w").unionByName(forest), comp
