@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mosaiq.llm import vectors
-from mosaiq.llm.vectors import leaf_edges, leaves, route, whole
+from mosaiq.operators import communities, vectors
+from mosaiq.operators.vectors import leaf_edges, leaves, route, whole
 from mosaiq.session import Scratch
 
 REGION_ROWS = 60_000  # vertices that are contracted in one task, on average
@@ -234,3 +234,74 @@ def groups_of_anchors(cells: DataFrame, anchors: DataFrame, dim: int, step: floa
     a = comp.where("id % 2 <> 0").select("component", F.expr("(id - 1) div 2").alias("anchor_id"))
     c = comp.where("id % 2 = 0").select("component", F.expr("id div 2").alias("cell_id"))
     return c.join(a, "component").select("cell_id", "anchor_id")
+
+
+def condensed(s: Scratch, forest: DataFrame, min_cluster_size: int, n_levels: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Clusters of a spanning forest by stability: (cluster, size, stability) and (id, cluster, persistence).
+
+    The hierarchy is built from the smallest weights up, at n_levels weights that are quantiles of the forest's: at
+    each, components join along the edges up to it. Components of min_cluster_size and more are kept; one stays the same
+    node of the condensed tree while it only gains single points or small parts, and two of them that join make a new
+    node. A node's stability is the sum over its levels of size times the drop of density, 1 / weight. A node is
+    chosen if it is at least as stable as the chosen ones below it together. A member's persistence is the density at
+    which it comes into a kept component; members that never do, and components that stay small, have no cluster.
+    """
+    spark = forest.sparkSession
+    e = s.put(forest.select(F.col("a").alias("u"), F.col("b").alias("v"), "w"), "levels-edges")
+    cuts = e.agg(F.percentile_approx("w", [(i + 1) / n_levels for i in range(n_levels)], 10_000).alias("t")).first()["t"]
+    if not cuts:
+        return spark.createDataFrame([], "cluster long, size long, stability double"), spark.createDataFrame([], "id long, cluster long, persistence double")
+    cuts = sorted(set(cuts))
+    eps = max(cuts[-1], 1e-12) / 1000
+    density = [1 / (t + eps) for t in cuts] + [0.0]
+    # vertex: id, its component, the node its component belongs to (null while small), the density at which it came in
+    v = s.put(e.select(F.col("u").alias("id")).union(e.select("v")).distinct().select("id", F.col("id").alias("c"), F.lit(None).cast("double").alias("persistence")), "vertices")
+    comp = s.put(v.select("c", F.lit(1).cast("long").alias("size"), F.lit(None).cast("long").alias("node")), "components")
+    lives, parents, ends = [], [], []
+    for level, t in enumerate(cuts):
+        now = e.where(F.col("w") <= t).select("u", "v")
+        root = s.put(communities.connected(s, now).toDF("c", "r"), "root")
+        e = s.put(e.where(F.col("w") > t).join(root.toDF("u", "ru"), "u", "left").join(root.toDF("v", "rv"), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"), "w"), "levels-edges")
+        up = comp.join(root, "c", "left").select(F.coalesce("r", "c").alias("c"), "size", "node")
+        g = up.groupBy("c").agg(F.sum("size").alias("size"), F.count("node").alias("n"), F.max("node").alias("node"))
+        own = F.col("c") * 64 + level  # a new node is named by its component and level
+        g = s.put(g.withColumn("new", F.when(F.col("size") >= min_cluster_size, F.when(F.col("n") == 1, F.col("node")).otherwise(own))), "components")
+        parents.append(s.put(up.where("node is not null").join(g.where("n > 1").select("c", F.col("new").alias("parent")), "c").select("node", "parent", F.lit(level).alias("level")), "parents"))
+        lives.append(s.put(g.where("new is not null").select(F.col("new").alias("node"), "size", F.lit(level).alias("level"), "c"), "lives"))
+        comp = g.select("c", "size", F.col("new").alias("node"))
+        v2 = v.join(root, "c", "left").select("id", F.coalesce("r", "c").alias("c"), "persistence").join(comp.where("node is not null").select("c", "node"), "c", "left")
+        nv = s.put(v2.select("id", "c", F.coalesce("persistence", F.when(F.col("node").isNotNull(), F.lit(density[level]))).alias("persistence"), "node"), "vertices")
+        ends.append(nv.select("id", "node", F.lit(level).alias("level")))
+        v = nv.select("id", "c", "persistence")
+    both = lambda xs: xs[0] if len(xs) == 1 else both([xs[0].unionByName(xs[1]), *xs[2:]])
+    life, parent = both(lives), s.put(both(parents), "tree")
+    drop = F.array(*[F.lit(density[i] - density[i + 1]) for i in range(len(cuts))])
+    node = s.put(life.groupBy("node").agg(F.sum(F.col("size") * F.get(drop, F.col("level"))).alias("own"), F.max(F.struct("level", "size"))["size"].alias("size"), F.max("level").alias("last"), F.min("level").alias("born")), "nodes")
+    # bottom up: the best sum of stabilities at or below each node, in order of birth
+    best = s.put(node.select("node", "born", "own", F.col("own").alias("best"), F.lit(True).alias("self")), "best")
+    for level in range(1, len(cuts)):
+        if best.where((F.col("born") == level)).isEmpty():
+            continue
+        below = parent.join(best.select("node", "best"), "node").groupBy(F.col("parent").alias("node")).agg(F.sum("best").alias("below"))
+        b = best.join(below, "node", "left").withColumn("now", (F.col("born") == level) & F.col("below").isNotNull())
+        best = s.put(b.select("node", "born", "own", F.when(F.col("now"), F.greatest("own", "below")).otherwise(F.col("best")).alias("best"), F.when(F.col("now"), F.col("own") >= F.col("below")).otherwise(F.col("self")).alias("self")), "best")
+    # top down: a node is chosen if it wins and nothing above it is chosen
+    state = s.put(best.select("node", "self").join(parent.select("node", "parent"), "node", "left").withColumn("chosen", F.when(F.col("parent").isNull(), F.col("self"))).withColumn("covered", F.when(F.col("parent").isNull(), F.col("self"))), "choice")
+    while not state.where("chosen is null").isEmpty():
+        p = state.select(F.col("node").alias("parent"), F.col("covered").alias("pc"))
+        j = state.join(p, "parent", "left")
+        state = s.put(j.select("node", "self", "parent", F.coalesce("chosen", F.when(F.col("pc").isNotNull(), ~F.col("pc") & F.col("self"))).alias("chosen"), F.coalesce("covered", F.when(F.col("pc").isNotNull(), F.col("pc") | F.col("self"))).alias("covered")), "choice")
+    chosen = s.put(state.where("chosen").select("node").join(node, "node").select("node", "last", "size", F.col("own").alias("stability")), "chosen")
+    m = both(ends).where("node is not null").join(chosen.select("node", F.col("last").alias("level")), ["node", "level"]).select("id", F.col("node").alias("cluster"))
+    members = m.join(v.select("id", "persistence"), "id").select("id", "cluster", "persistence")
+    return chosen.select(F.col("node").alias("cluster"), "size", "stability"), members
+
+
+def cluster(df: DataFrame, id_col: str, vec: str, dim: int, radius: float, min_samples: int = 5, min_cluster_size: int = 50, exemplars: int = 3, scratch: Scratch | None = None) -> DataFrame:
+    """(cluster, size, stability, exemplars): each cluster with its size and its most persistent members, smallest ids first."""
+    s = scratch or Scratch(df.sparkSession, "density")
+    forest, _ = spanning_forest(df, id_col, vec, dim, radius, min_samples, scratch=s)
+    c, members = condensed(s, s.put(forest, "forest"), min_cluster_size)
+    w = W.partitionBy("cluster").orderBy(F.desc("persistence"), "id")
+    top = members.withColumn("n", F.row_number().over(w)).where(F.col("n") <= exemplars).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("exemplars"))
+    return c.join(top, "cluster")

@@ -31,6 +31,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return density.groups_of_anchors(table(spark, d, "cell_expression"), table(spark, d, "cluster_anchors"), 15, PCA_STEP)
 
 
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Each group of similar cells with its size, stability and most typical cells."""
+    c = density.cluster(table(spark, d, "cell_expression"), "cell_id", "x_pca", 15, 2.0)
+    return c.withColumn("stability", F.round("stability", 3))
+
+
+def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The five cells most similar to every 20th cell in x_pca, by greedy search among all cells."""
+    cells = table(spark, d, "cell_expression")
+    queries = cells.where("cell_id % 20 = 0").select(F.col("cell_id").alias("id"))
+    return neighbours.search(cells, queries, "cell_id", "x_pca", 15).select(F.col("src").alias("cell_id"), F.col("dst").alias("near_id"), "rank")
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", _TOKENS.alias("n"))
     return packing.pack(docs, "doc_id", "n", CAPACITY)
@@ -85,7 +98,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return _passages(spark, d).select(F.col("id").alias("doc_id"), "passage", "lang", "n_words", "confidence")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p6_found, p6_containers, p7_found, p7_report, p7_drawn, p8_found, p8_passages)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p5_found, p5_nearest, p6_found, p6_containers, p7_found, p7_report, p7_drawn, p8_found, p8_passages)}
 SQL = {
     "p6_found": "select doc_id from documents where coalesce(strlen(text), 0) > 2048",
     "p7_found": r"""
