@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mosaiq.operators.ordered import carry_last
 from mosaiq.session import Scratch
@@ -113,7 +114,10 @@ def best_matching(weight: np.ndarray) -> list[tuple[int, int]]:
     return [(b, a) for a, b in pairs] if flip else pairs
 
 
-@F.pandas_udf("array<struct<old:string,new:string>>")
+_RENAME = T.ArrayType(T.StructType([T.StructField("old", T.StringType()), T.StructField("new", T.StringType())]))
+
+
+@F.pandas_udf(_RENAME)
 def _renames(gone: pd.Series, new: pd.Series, weight: pd.Series) -> pd.Series:
     out = []
     for g, n, w in zip(gone, new, weight):
