@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.llm import density, languages, mixing, neighbours, packing
@@ -23,7 +23,6 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 CAPACITY = 2048
-_TOKENS = F.coalesce(F.octet_length("text"), F.lit(0))  # a byte-level tokenizer without special tokens
 PCA_STEP = 1.0
 
 
@@ -44,8 +43,13 @@ def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.search(cells, queries, "cell_id", "x_pca", 15).select(F.col("src").alias("cell_id"), F.col("dst").alias("near_id"), "rank")
 
 
+def _tokens() -> Column:
+    """Tokens of a byte-level tokenizer without special tokens."""
+    return F.coalesce(F.octet_length("text"), F.lit(0))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", _TOKENS.alias("n"))
+    docs = table(spark, d, "documents").select("doc_id", _tokens().alias("n"))
     return packing.pack(docs, "doc_id", "n", CAPACITY)
 
 
@@ -59,7 +63,7 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    docs = table(spark, d, "documents").select("doc_id", "source", _TOKENS.alias("n"))
+    docs = table(spark, d, "documents").select("doc_id", "source", _tokens().alias("n"))
     return mixing.mix(docs, table(spark, d, "mix_targets"), "doc_id", "source", "n")
 
 
