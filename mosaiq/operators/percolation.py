@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaiq.operators.neighborhood import type_fractions
+from mosaiq.operators.neighbors import spatial_knn
+from mosaiq.session import Scratch
 
 STEPS = 100
 
@@ -173,3 +175,21 @@ def percolation_score(real: DataFrame, perm: DataFrame) -> DataFrame:
     j = real.select("section", "step", "pbond", "n", F.col("entropy").alias("h")).join(perm.select("section", "step", F.col("entropy").alias("hp")), ["section", "step"])
     s = trapezoid(j.withColumn("g", F.abs(F.col("hp") - F.col("h"))), ["section", "n"], "pbond", "g", "raw")
     return s.withColumn("normalized", F.when(F.col("n") > 1, F.col("raw") / F.log2("n")))
+
+
+def score_sections(points: DataFrame, max_k: int, seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
+    """(section, n, raw, normalized): percolation score of each section against its permuted types.
+
+    Input: section, cell_id, x, y, type. Local edges join the max_k nearest cells of the same type, macroscopic edges the
+    zones that these form. A null type never joins, but its cell counts.
+    """
+    s = scratch or Scratch(points.sparkSession, "percolation")
+    p = s.put(points.select("section", "cell_id", "x", "y", "type"), "typed")
+    knn = s.put(spatial_knn(p, max_k, scratch=s), "knn")
+    curves = []
+    for name, types in (("real", p.select("section", "cell_id", "type")), ("perm", s.put(permuted_types(p, seed), "permuted"))):
+        e = s.put(activation_edges(knn, types, seed), f"{name}-edges")
+        z = s.put(zone_table(p.drop("type"), types, zones(e)), f"{name}-zones")
+        both = e.select("section", "type", "src", "dst", "p").unionByName(macro_edges(z, type_fractions(types)))
+        curves.append(s.put(entropy_curve(both, types), f"{name}-curve"))
+    return percolation_score(*curves)

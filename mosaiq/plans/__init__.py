@@ -1 +1 @@
-
+"""Run configurations and what they are expected to produce."""

@@ -102,17 +102,7 @@ def macro_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def percolation_score(spark: SparkSession, d: str) -> DataFrame:
     """Raw and normalized score per section: local and macroscopic edges, against permuted types."""
-    s = Scratch(spark, "percolation")
-    p = s.put(_typed(spark, d), "typed")
-    knn = s.put(neighbors.spatial_knn(p, K, scratch=s), "knn")
-    curves = []
-    for name, types in (("real", p.select("section", "cell_id", "type")), ("perm", s.put(percolation.permuted_types(p), "permuted"))):
-        e = s.put(percolation.activation_edges(knn, types), f"{name}-edges")
-        z = s.put(percolation.zone_table(p.drop("type"), types, percolation.zones(e)), f"{name}-zones")
-        m = percolation.macro_edges(z, neighborhood.type_fractions(types))
-        both = e.select("section", "type", "src", "dst", "p").unionByName(m)
-        curves.append(s.put(percolation.entropy_curve(both, types), f"{name}-curve"))
-    return percolation.percolation_score(*curves)
+    return percolation.score_sections(_typed(spark, d), K)
 
 
 def stuck_users(spark: SparkSession, d: str) -> DataFrame:
