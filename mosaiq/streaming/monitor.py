@@ -30,21 +30,32 @@ class Stuck(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ms long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        newest = max(int(r["ts"].astype("datetime64[ms]").astype("int64").max()) for r in rows)
-        old = self.last.get()[0] if self.last.exists() else None
-        if old is None or newest > old:
-            if old is not None:
-                self.handle.deleteTimer(old + self.timeout_s * 1000)
-            self.last.update((newest,))
-            self.handle.registerTimer(newest + self.timeout_s * 1000)
-        yield pd.DataFrame({"key": [], "last_seen": []}).astype({"key": "int64", "last_seen": "datetime64[ns]"})
-
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
-        ms = self.last.get()[0]
-        yield pd.DataFrame({"key": [key[0]], "last_seen": [pd.Timestamp(ms, unit="ms")]})
+        self.last = handle.getValueState("last", "ms long, told boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        times = sorted(t for r in rows for t in r["ts"].astype("datetime64[ms]").astype("int64"))
+        before, told = self.last.get() if self.last.exists() else (None, True)
+        old, out = before, []
+        for t in map(int, times):
+            if old is None or t > old:
+                if old is not None and t - old > self.timeout_s * 1000 and not told:
+                    out.append(old)  # the gap ended before its timer was due
+                old, told = t, False
+        if old != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.timeout_s * 1000)
+            self.last.update((old, False))
+            self.handle.registerTimer(old + self.timeout_s * 1000)
+        yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        ms, told = self.last.get()
+        self.last.update((ms, True))
+        yield self._rows(key, [] if told else [ms])
+
+    @staticmethod
+    def _rows(key, ms: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"key": pd.Series([key[0]] * len(ms), dtype="int64"), "last_seen": pd.to_datetime(pd.Series(ms, dtype="int64"), unit="ms")})
 
     def close(self) -> None:
         pass
