@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions import grids, paths
-from mosaiq.operators import features, logs, results
+from mosaiq.operators import features, logs, percolation, results
 from mosaiq.session import table
 
 _KEYS = ", ".join(results.CONFIG)
@@ -47,6 +47,21 @@ def scores_summary(spark: SparkSession, d: str) -> DataFrame:
     return _r(g.withColumn("missing", F.col("n") - F.col("valid")), "mean")
 
 
+def trapz_score(spark: SparkSession, d: str) -> DataFrame:
+    """Integral of the mean score over log10 resolution, per method, data type and distance."""
+    s = table(spark, d, "scores").where("resolution > 0 and percolation_score is not null and not isnan(percolation_score)")
+    k = ["method", "data_type", "distance"]
+    c = s.groupBy(*k, "resolution").agg(F.avg("percolation_score").alias("y")).withColumn("x", F.log10("resolution"))
+    return _r(percolation.trapezoid(c, k, "x", "y", "integral"), "integral")
+
+
+def normalized_score(spark: SparkSession, d: str) -> DataFrame:
+    """Raw score over log2 of the section's number of cells."""
+    s = table(spark, d, "scores").select("file_path", "section_name", "percolation_score", "scored_at").where("percolation_score is not null")
+    j = s.join(results.section_cells(table(spark, d, "cells")).withColumnRenamed("section", "section_name"), "section_name").where("n_cells > 1")
+    return _r(j.select("file_path", "scored_at", (F.col("percolation_score") / F.log2("n_cells")).alias("normalized")), "normalized")
+
+
 def pooled_type_entropy(spark: SparkSession, d: str) -> DataFrame:
     return _r(results.pooled_type_stats(table(spark, d, "cluster_labels")), "type_distribution_entropy")
 
@@ -281,7 +296,7 @@ _EXPECTED = r"""cf as (select distinct regexp_extract(file_path, '^run_\d+/(.*)/
 
 QUERIES = {
     f.__name__: f
-    for f in (section_cell_counts, sections_distinct, reduce_scores_weighted, best_configuration, scores_summary, pooled_type_entropy, contingency_table, ari_all_pairs, ari_annotations, comparison_pairs, n_pairs, section_intersection, union_chunks, score_layout_parse, parse_path, resolved_resolution, build_path, legacy_metadata, aggregate_scores, resolution_dirname, resolution_grid, k_grid, folder_name, derived_name, wildcard_features, expected_outputs, progress_report, pending_jobs, completed_semi, chunk_assign, calibration_sample, log_classify, log_durations, encode_annotations, annotation_summary, subsample_sections)
+    for f in (section_cell_counts, sections_distinct, reduce_scores_weighted, best_configuration, scores_summary, trapz_score, normalized_score, pooled_type_entropy, contingency_table, ari_all_pairs, ari_annotations, comparison_pairs, n_pairs, section_intersection, union_chunks, score_layout_parse, parse_path, resolved_resolution, build_path, legacy_metadata, aggregate_scores, resolution_dirname, resolution_grid, k_grid, folder_name, derived_name, wildcard_features, expected_outputs, progress_report, pending_jobs, completed_semi, chunk_assign, calibration_sample, log_classify, log_durations, encode_annotations, annotation_summary, subsample_sections)
 }
 
 SQL = {
@@ -290,6 +305,10 @@ SQL = {
     "reduce_scores_weighted": _REDUCE,
     "best_configuration": f"select {_KEYS}, round(raw_score_weighted_mean, 6) raw_score_weighted_mean from ({_REDUCE}) order by raw_score_weighted_mean desc nulls last, {', '.join(k + ' nulls first' for k in results.CONFIG)} limit 1",
     "scores_summary": "select method, count(*) n, count(s) valid, min(s) least, max(s) most, round(avg(s), 6) mean, count(*) - count(s) missing from (select method, case when not isnan(percolation_score) then percolation_score end s from scores) group by method",
+    "trapz_score": """with c as (select method, data_type, distance, log10(resolution) x, avg(percolation_score) y from scores where resolution > 0 and percolation_score is not null and not isnan(percolation_score) group by method, data_type, distance, resolution),
+        t as (select *, lead(x) over w nx, lead(y) over w ny from c window w as (partition by method, data_type, distance order by x))
+        select method, data_type, distance, round(coalesce(sum((nx - x) * (ny + y) / 2.0), 0), 6) integral from t group by method, data_type, distance""",
+    "normalized_score": f"with {_SECTION_CELLS} select file_path, scored_at, round(percolation_score / log2(n_cells), 6) normalized from scores join sc on section_name = section where percolation_score is not null and n_cells > 1",
     "pooled_type_entropy": """with n as (select config_id, label, count(*) n from (select distinct config_id, section, cell_id, label from cluster_labels where label >= 0) group by all)
         select config_id, count(*) total_number_of_types, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) type_distribution_entropy from n group by config_id""",
     "contingency_table": f"with {_LABELS}, {_CONT} select * from ct",

@@ -167,6 +167,15 @@ SQL = {
     "zones_centroids": f"""with recursive {_ACT} {_REACH.format(where="")}
         select p.section, p."type", coalesce(z.zone, p.cell_id) zone, count(*) size, round(avg(x), 4) x, round(avg(y), 4) y
         from pos p left join zoned z on z.section = p.section and z.cell_id = p.cell_id where p."type" is not null group by all""",
+    "macro_edges": f"""with recursive {_ACT} {_REACH.format(where="")},
+        z as (select p.section, p."type", coalesce(z.zone, p.cell_id) zone, count(*) size, avg(x) x, avg(y) y
+              from pos p left join zoned z on z.section = p.section and z.cell_id = p.cell_id where p."type" is not null group by all),
+        many as (select section, "type" from z group by all having count(*) > 1),
+        j as (select a.section, a."type" ta, b."type" tb, a.zone za, b.zone zb, sum(b.size) over (partition by a.section, a.zone
+              order by (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.zone rows unbounded preceding) k
+              from z a join many m on m.section = a.section and m."type" = a."type" join z b on b.section = a.section and b.zone <> a.zone),
+        e as (select section, ta, least(za, zb) src, greatest(za, zb) dst, min(k) k from j where ta = tb group by all)
+        select e.section, ta "type", src, dst, round(1.0 - exp(-greatest(k, 1) * fraction), 6) p from e join frac f on f.section = e.section and f."type" = ta""",
     "stuck_users": """select user_id, ts last_seen, next_ts resumed from (select user_id, ts, lead(ts) over (partition by user_id order by ts, event_id) next_ts from events)
         where next_ts - ts > interval 12 hours""",
 }
