@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from mosaiq.session import Scratch
 
 ITEM, GAP, MATCH = 0, 1, 2
-STATE = "kind int, size long, item string, bin long"
 BUNDLE_SHARE = 8  # small items are first bundled up to this part of the capacity
 
 
