@@ -96,3 +96,33 @@ def test_percolation_invariants(spark):
     for i in list(parent):
         want[find(i)].add(i)
     assert {(r["cell_id"], r["zone"]) for r in z.collect()} == {(i, min(g)) for g in want.values() for i in g}
+
+
+def test_entropy_curve_brute_force(spark):
+    rng = np.random.default_rng(5)
+    pts = [("s", i, float(x), float(y), "ab"[i % 3 == 0]) for i, (x, y) in enumerate(rng.normal(0, 1, (60, 2)))]
+    df = spark.createDataFrame(pts, "section string, cell_id long, x double, y double, type string")
+    e = percolation.activation_edges(neighbors.spatial_knn(df, 5), df)
+    edges = [(r["src"], r["dst"], r["p"]) for r in e.collect()]
+    got = {r["step"]: r["entropy"] for r in percolation.entropy_curve(e, df).collect()}
+    for step in (1, 10, 35, 60, 99):
+        label = list(range(60))
+        for u, v, p in edges:
+            if 0.01 < p <= (step + 1) / 100 and label[u] != label[v]:
+                old, new = label[v], label[u]
+                label = [new if x == old else x for x in label]
+        sizes = [label.count(c) for c in set(label)]
+        assert abs(got[step] + sum(s / 60 * math.log2(s / 60) for s in sizes)) < 1e-9
+
+
+def test_macro_edges_brute_force(spark):
+    from mosaiq.operators import neighborhood
+
+    zones = [("s", t, z, n, float(x), float(y)) for t, z, n, x, y in (("a", 1, 4, 0, 0), ("a", 2, 2, 3, 0), ("a", 5, 1, 9, 9), ("b", 7, 6, 1, 0))]
+    df = spark.createDataFrame(zones, "section string, type string, zone long, size long, x double, y double")
+    frac = neighborhood.type_fractions(spark.createDataFrame([("s", t) for t, n in (("a", 7), ("b", 6)) for _ in range(n)], "section string, type string"))
+    got = {(r["src"], r["dst"]): r["p"] for r in percolation.macro_edges(df, frac).collect()}
+    k = {(1, 2): min(6 + 2, 6 + 4), (1, 5): min(6 + 2 + 1, 2 + 6 + 4), (2, 5): min(6 + 4 + 1, 2)}
+    assert set(got) == set(k)
+    for pair, n in k.items():
+        assert abs(got[pair] - (1 - math.exp(-max(1, n) * 7 / 13))) < 1e-9
