@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.session import Scratch
 
-FIRST_WIDTH = 0.75  # first grid width, as a share of what holds enough points at a section's mean density
+FIRST_WIDTH = 1.3  # first grid width, as a multiple of what holds enough points at a section's mean density
 
 
 def spatial_knn(points: DataFrame, k: int, with_self: bool = False, scratch: Scratch | None = None) -> DataFrame:
