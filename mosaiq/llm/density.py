@@ -73,8 +73,44 @@ def local_forest(u: np.ndarray, v: np.ndarray, own: np.ndarray, n: int) -> tuple
     return label, np.unique(np.concatenate(chosen)) if chosen else np.empty(0, np.int64)
 
 
+def leaf_forest(x: np.ndarray, r2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d2): minimum spanning forest of all pairs of rows at a squared distance of at most r2 (Prim)."""
+    n = len(x)
+    if n < 2:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    x = x.astype(np.float64)
+    c = x - x.mean(0)
+    sq = (c * c).sum(1)
+    d = sq[:, None] + sq[None] - 2 * (c @ c.T)
+    near, by = np.full(n, np.inf), np.zeros(n, int)  # of each vertex outside: distance to the tree, and from where
+    to, at = np.full(n, -1), 0
+    out = np.ones(n, bool)
+    limit = r2 + 1e-9 * (float(sq.max()) + 1e-6)  # checked exactly below
+    for _ in range(n - 1):
+        out[at] = False
+        near[at] = np.inf
+        row = d[at]
+        less = (row < near) & out
+        near[less], by[less] = row[less], at
+        nxt = int(near.argmin())
+        if near[nxt] <= limit:
+            to[nxt] = by[nxt]
+        else:  # nothing more within reach: another tree starts
+            nxt = int(out.argmax())
+        at = nxt
+    i = np.flatnonzero(to >= 0)
+    j = to[i]
+    e = x[i] - x[j]
+    d2 = np.einsum("ij,ij->i", e, e)
+    keep = d2 <= r2
+    return i[keep], j[keep], d2[keep]
+
+
 def _edge_rows(dim: int, k: int, r2: float, most: int, seed: int, thin: bool, region_of):
-    """Kernel: leaves of a task to edges, each sent to the region of either end."""
+    """Kernel: leaves of a task to edges, each sent to the region of either end.
+
+    With ``thin`` these are the minimum spanning forests of all pairs in a leaf, else the k nearest of each vertex.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = whole(batches)
@@ -82,7 +118,7 @@ def _edge_rows(dim: int, k: int, r2: float, most: int, seed: int, thin: bool, re
             return
         parts, start = [], 0
         for ids, x in leaves(t, dim, most, seed):
-            i, j, d2 = leaf_edges(x, ids, k, r2)
+            i, j, d2 = leaf_forest(x, r2) if thin else leaf_edges(x, ids, k, r2)
             parts.append((i + start, j + start, d2, ids, region_of(x)))
             start += len(ids)
         i, j, d2 = (np.concatenate([p[n] for p in parts]) for n in range(3))
@@ -188,11 +224,15 @@ def spanning_forest(df: DataFrame, id_col: str, vec: str, dim: int, radius: floa
     The mutual reachability of two vectors is the largest of their distance and their core distances; a core
     distance is that to the (min_samples - 1)-th nearest other vector. Edges longer than ``radius`` are left out.
     For min_samples up to 2 the mutual reachability is the distance itself, as no other vector is nearer than the
-    nearest; leaves then send on only their own forests. Returns edges (a, b, w) and (id, component) of all vectors
-    that have an edge. Vectors that are null, short or not finite don't count, repeated rows of an id count once.
+    nearest; leaves then send on only their own forests, of all their pairs. Equal vectors take part as one, their
+    smallest id, and its copies join its component afterwards. Returns edges (a, b, w) and (id, component) of all
+    vectors that have an edge. Vectors that are null, short or not finite don't count, repeated rows of an id count
+    once.
     """
     s = scratch or Scratch(df.sparkSession, "density")
     k = max(k, min_samples)
+    df, held, members = _heads(s, df, id_col, vec, dim)
+    id_col, vec = "id", "v"
     rows = df.count()
     depth = max(0, int(np.ceil(np.log2(max(rows, 1) / REGION_ROWS))))
     sample = vectors.sample_vectors(df, vec, dim, rows, seed + 1)
@@ -201,24 +241,44 @@ def spanning_forest(df: DataFrame, id_col: str, vec: str, dim: int, radius: floa
     g = vectors.grouped(df, id_col, vec, dim, rows, trees, leaf, seed)
     e = g.mapInArrow(_edge_rows(dim, k, float(radius) ** 2, 2 * leaf, seed, min_samples <= 2, lambda x: route(x, tree)), EDGE)
     if min_samples > 2:
-        e = _mutual(s.put(e, "near"), min_samples, k, radius)
+        e, core = _mutual(s.put(e, "near"), held, min_samples, radius)
     regions = max(1, -(-rows // REGION_ROWS))
     c = s.put(e.repartition(regions, "region").mapInArrow(_contract, CONTRACTED), "contracted")
     labels = c.where(f"kind = {LABEL}").select(F.col("a").alias("id"), F.col("la").alias("label"))
     rest = c.where(f"kind = {REST}").groupBy("a", "b").agg(F.min("w").alias("w"), F.max("la").alias("u"), F.max("lb").alias("v"))
     rest = rest.where("u is not null and v is not null")  # kept in the regions of both ends
     roots, forest = boruvka(s, rest)
-    comp = labels.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("component"))
-    return c.where(f"kind = {TREE}").select("a", "b", "w").unionByName(forest), comp
+    comp = s.put(labels.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("component")), "components")
+    forest = c.where(f"kind = {TREE}").select("a", "b", "w").unionByName(forest)
+    # copies hang on their head, by its core distance
+    own = held.select(F.col("head"), F.lit(0.0).alias("w")) if min_samples <= 2 else held.select("head").join(core.where(F.col("core") <= radius).toDF("head", "w"), "head")
+    link = s.put(members.join(own, "head").select(F.col("head").alias("a"), F.col("id").alias("b"), "w"), "links")
+    at = own.select("head").join(comp.withColumnRenamed("id", "head"), "head", "left").select("head", F.coalesce("component", "head").alias("component"))
+    ends = link.select(F.col("a").alias("head"), F.col("b").alias("id")).unionAll(own.join(comp.select(F.col("id").alias("head")), "head", "left_anti").select("head", F.col("head").alias("id")))
+    return forest.unionByName(link), comp.unionByName(ends.join(at, "head").select("id", "component"))
 
 
-def _mutual(near: DataFrame, min_samples: int, k: int, radius: float) -> DataFrame:
-    """Edges of k-nearest lists with mutual reachability for weight, sent to the regions of both ends."""
+def _heads(s: Scratch, df: DataFrame, id_col: str, vec: str, dim: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((id, v) with one id per valid vector, (head, n) of vectors held by n > 1 ids, (id, head) of the other holders)."""
+    d = vectors.valid(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec}`").alias("v")).where("id is not null"), "v", dim)
+    h = d.groupBy("id").agg(F.min(F.xxhash64("v")).alias("h"))
+    held = s.put(h.groupBy("h").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1"), "held")
+    members = s.put(h.join(held, "h").where("id <> head").select("id", "head"), "members")
+    return s.put(d.join(members.select("id"), "id", "left_anti"), "heads"), held.select("head", "n"), members
+
+
+def _mutual(near: DataFrame, held: DataFrame, min_samples: int, radius: float) -> tuple[DataFrame, DataFrame]:
+    """Edges of k-nearest lists with mutual reachability for weight, sent to the regions of both ends, and the cores.
+
+    A vector held by n ids counts n times among the nearest of others and n - 1 times among its own.
+    """
     both = near.select(F.col("a").alias("s"), F.col("b").alias("o"), "w").unionAll(near.select(F.col("b").alias("s"), F.col("a").alias("o"), "w")).distinct()
-    w = W.partitionBy("s").orderBy("w", "o")
-    core = both.withColumn("n", F.row_number().over(w)).where(F.col("n") == min_samples - 1).select("s", F.col("w").alias("core"))
+    both = both.join(held.toDF("o", "n"), "o", "left").select("s", "o", "w", F.coalesce("n", F.lit(1)).alias("n"))
+    both = both.unionByName(held.select(F.col("head").alias("s"), F.col("head").alias("o"), F.lit(0.0).alias("w"), (F.col("n") - 1).alias("n")))
+    w = W.partitionBy("s").orderBy("w", "o").rowsBetween(W.unboundedPreceding, 0)
+    core = both.withColumn("n", F.sum("n").over(w)).where(F.col("n") >= min_samples - 1).groupBy("s").agg(F.min("w").alias("core"))
     e = near.join(core.toDF("a", "ca"), "a").join(core.toDF("b", "cb"), "b")
-    return e.select("region", "a", "b", F.greatest("w", "ca", "cb").alias("w"), "ra", "rb").where(F.col("w") <= radius)
+    return e.select("region", "a", "b", F.greatest("w", "ca", "cb").alias("w"), "ra", "rb").where(F.col("w") <= radius), core
 
 
 def groups_of_anchors(cells: DataFrame, anchors: DataFrame, dim: int, step: float, scratch: Scratch | None = None) -> DataFrame:

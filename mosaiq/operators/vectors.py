@@ -31,6 +31,12 @@ def unpack(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ok, x[good]
 
 
+def valid(df: DataFrame, vec: str, dim: int) -> DataFrame:
+    """The rows that unpack takes for valid."""
+    big = F.lit(float(np.finfo(np.float32).max))
+    return df.where((F.size(vec) == dim) & F.forall(vec, lambda x: x.isNotNull() & (F.abs(x) <= big)))
+
+
 def to_binary(x: np.ndarray) -> pa.Array:
     """Vectors as a binary column."""
     x = np.ascontiguousarray(x, np.float32)

@@ -79,3 +79,37 @@ def test_clusters(spark):
     got = density.cluster(table(spark, x, BAD), "cell_id", "x_pca", 4, 4.0, min_cluster_size=40).collect()
     assert sorted(r["size"] for r in got) == [100, 150, 200] or sum(r["size"] for r in got) >= 400
     assert all(1 <= len(r["exemplars"]) <= 3 for r in got)
+
+
+def components(comp):
+    out = {}
+    for r in comp.collect():
+        out.setdefault(r["component"], set()).add(r["id"])
+    return sorted(map(sorted, out.values()))
+
+
+def test_forest_with_very_many_copies(spark):
+    x = np.zeros((1600, 4), np.float32)
+    x[1500:] = np.arange(100)[:, None] * np.float32(0.4) + np.float32(0.4)  # a chain that starts at the copies
+    for min_samples, n in ((2, 1600), (5, 1501)):  # the chain's further vectors have no core distance within the radius
+        forest, comp = density.spanning_forest(table(spark, x, BAD[:3]), "cell_id", "x_pca", 4, 1.0, min_samples)
+        assert forest.count() == n - 1 and components(comp) == [list(range(n))]
+    alone = density.spanning_forest(table(spark, x[:1500]), "cell_id", "x_pca", 4, 1.0)[1]
+    assert components(alone) == [list(range(1500))]
+
+
+def test_dense_groups_joined_by_one_pair(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 0.01, (40, 4)), rng.normal(0, 0.01, (40, 4)) + 0.4]).astype(np.float32)
+    forest, comp = density.spanning_forest(table(spark, x), "cell_id", "x_pca", 4, 1.0)
+    assert forest.count() == 79 and components(comp) == [list(range(80))]
+
+
+def test_leaf_forest_is_minimal():
+    x = np.random.default_rng(7).normal(0, 1, (90, 3)).astype(np.float32)
+    i, j, d2 = density.leaf_forest(x, 0.6)
+    d = knn(x, 1)[0]
+    a, b = np.nonzero(np.triu(d <= 0.6, 1))
+    o = np.argsort(d[a, b])
+    kept = density.local_forest(a[o], b[o], np.ones(90, bool), 90)[1]
+    assert len(i) == len(kept) and abs(d2.sum() - d[a, b][o][kept].sum()) < 1e-9
