@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mosaiq.operators.vectors import TASK_ROWS, from_binary, grouped, leaf_edges, leaves, to_binary, whole
+from mosaiq.operators.vectors import TASK_ROWS, from_binary, grouped, leaf_edges, leaves, to_binary, valid, whole
 from mosaiq.session import Scratch
 
 SELF, FORWARD, REVERSE = 0, 1, 2
@@ -134,22 +134,12 @@ def nn_descent(df: DataFrame, id_col: str, vec: str, dim: int, k: int = 5, radiu
     wrong. Ties go to the smaller id. Vectors that are null, of another length, or hold null, NaN or infinity don't
     count; repeated rows of an id count once. Vectors held by very many ids are searched once, and their holders get
     the smallest ids among themselves. An empty table gives no rows. With ``graph`` the last graph is returned, with
-    vectors, for greedy search.
+    vectors, for greedy search; of such copies it holds only the smallest id.
     """
     s = scratch or Scratch(df.sparkSession, "knn")
-    df = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec}`").alias("v")).where("id is not null and v is not null")
+    df, *copies = _searched_once(s, df, id_col, vec, dim, k)
     rows = df.count()
     r2 = float(radius) ** 2
-    hashed = df.withColumn("h", F.xxhash64("v"))
-    many = s.put(hashed.groupBy("h").count().where(F.col("count") > MANY_COPIES).select("h"), "copies")
-    copies = None
-    if not many.isEmpty():
-        members = hashed.join(many, "h").select("h", "id").distinct()
-        w = W.partitionBy("h").orderBy("id")
-        least = s.put(members.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1), "least")
-        copies = (members, least)
-        heads = least.where("n = 1").select("h", F.col("id").alias("head"))
-        df = hashed.join(heads, "h", "left").where("head is null or head = id").select("id", "v")
     most = 2 * leaf
     g = grouped(df, "id", "v", dim, rows, trees, leaf, seed).mapInArrow(_first_rows(dim, k, r2, most, seed), GRAPH)
     parts = max(8, -(-rows // TASK_ROWS) * (2 if np.isfinite(radius) else 4))
@@ -163,15 +153,29 @@ def nn_descent(df: DataFrame, id_col: str, vec: str, dim: int, k: int = 5, radiu
     if graph:
         return g
     out = g.where("kind = 1").select("pivot", "nbr", "d2").repartition(parts, "pivot").mapInArrow(_lists(dim, k), "src long, dst long, d2 double, rank int")
-    if copies is None:
-        return out
-    return _with_copies(out, *copies, k)
-
-
-def _with_copies(edges: DataFrame, members: DataFrame, least: DataFrame, k: int) -> DataFrame:
-    """Lists in which a searched copy stands for all its holders."""
+    return _with_copies(out, *copies, k) if copies else out
+
+
+def _searched_once(s: Scratch, df: DataFrame, id_col: str, vec: str, dim: int, k: int) -> tuple[DataFrame, ...]:
+    """(id, v) of valid vectors, of those held by very many ids only the smallest id; then, if there are any, all their
+    holders (h, id) and the k + 1 smallest of each (h, id, n)."""
+    df = valid(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec}`").alias("v")).where("id is not null"), "v", dim)
+    held = df.groupBy("id").agg(F.min(F.xxhash64("v")).alias("h"))
+    # so many that each has k others
+    many = s.put(held.groupBy("h").count().where(F.col("count") > max(MANY_COPIES, k)).select("h"), "copies")
+    if many.isEmpty():
+        return (df,)
+    members = s.put(held.join(many, "h").select("h", "id"), "members")
+    w = W.partitionBy("h").orderBy("id")
+    least = s.put(members.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1), "least")
+    others = members.join(least.where("n = 1").select("id"), "id", "left_anti")
+    return df.join(others.select("id"), "id", "left_anti"), members, least
+
+
+def _with_copies(edges: DataFrame, members: DataFrame, least: DataFrame, k: int, of: DataFrame | None = None) -> DataFrame:
+    """Lists in which a searched copy stands for all its holders; those of holders only if they are in ``of``, if given."""
     top = least.select("h", F.col("id").alias("dst"))
-    among = members.select("h", F.col("id").alias("src")).join(top, "h").where("src <> dst").select("src", "dst", F.lit(0.0).alias("d2"))
+    among = (members if of is None else members.join(of, "id", "left_semi")).select("h", F.col("id").alias("src")).join(top, "h").where("src <> dst").select("src", "dst", F.lit(0.0).alias("d2"))
     heads = least.where("n = 1").select(F.col("id").alias("head"), "h")
     out = edges.select("src", "dst", "d2").join(members.select(F.col("id").alias("src")), "src", "left_anti")
     out = out.join(heads, out["dst"] == heads["head"], "left").join(top.withColumnRenamed("dst", "copy"), "h", "left")
@@ -226,7 +230,16 @@ def greedy_search(graph: DataFrame, queries: DataFrame, dim: int, k: int, beam:
 
 
 def search(df: DataFrame, queries: DataFrame, id_col: str, vec: str, dim: int, k: int = 5, graph_k: int = 10, scratch: Scratch | None = None) -> DataFrame:
-    """(src, dst, d2, rank): the k nearest of the queries (column id) among all rows, through an NN-descent graph."""
+    """(src, dst, d2, rank): the k nearest of the queries (column id) among all rows, through an NN-descent graph.
+
+    Of a vector held by very many ids one is searched and found for all; its holders get the smallest ids among them.
+    """
     s = scratch or Scratch(df.sparkSession, "search")
-    g = nn_descent(df, id_col, vec, dim, k=graph_k, trees=4, rounds=1, scratch=s, graph=True)
-    return greedy_search(g, queries, dim, k, scratch=s)
+    once, *copies = _searched_once(s, df, id_col, vec, dim, k)
+    of = queries.select(F.col("id").cast("long").alias("id"))
+    g = nn_descent(s.put(once, "once"), "id", "v", dim, k=graph_k, trees=4, rounds=1, scratch=s, graph=True)
+    if not copies:
+        return greedy_search(g, of, dim, k, scratch=s)
+    members, least = copies
+    found = greedy_search(g, of.join(members.select("id"), "id", "left_anti"), dim, k, scratch=s)
+    return _with_copies(found, members, least, k, of)

@@ -113,3 +113,28 @@ def test_leaf_forest_is_minimal():
     o = np.argsort(d[a, b])
     kept = density.local_forest(a[o], b[o], np.ones(90, bool), 90)[1]
     assert len(i) == len(kept) and abs(d2.sum() - d[a, b][o][kept].sum()) < 1e-9
+
+
+def test_search_with_very_many_copies(spark):
+    x = np.random.default_rng(8).normal(0, 1, (160, 4)).astype(np.float32)
+    x[40:100] = x[40]
+    bad = [(9100 + i, [float("nan")] * 4, "c") for i in range(40)]
+    df = table(spark, x, bad)
+    ids = df.where("cell_id % 5 = 0").selectExpr("cell_id as id")
+    got = {}
+    for r in neighbours.search(df, ids, "cell_id", "x_pca", 4, k=5).collect():
+        got.setdefault(r["src"], {})[r["rank"]] = (r["dst"], r["d2"])
+    d, near = knn(x, 5)
+    assert set(got) == set(range(0, 160, 5))
+    for q in range(0, 160, 5):
+        assert [got[q][n + 1][0] for n in range(5)] == near[q]
+        assert np.allclose([got[q][n + 1][1] for n in range(5)], d[q, near[q]])
+
+
+def test_invalid_and_repeated_rows_are_no_copies(spark):
+    x = np.random.default_rng(9).normal(0, 1, (20, 4)).astype(np.float32)
+    x[1] = x[0]
+    bad = [(9100 + i, v, "c") for i, v in enumerate([[]] * 40 + [[float("nan")] * 4] * 40)]
+    again = [(0, [float(v) for v in x[0]], "c")] * 40
+    got = neighbours.near_pairs(table(spark, x, bad + again), "cell_id", "x_pca", 4, 1e-6, k=5).collect()
+    assert [tuple(r) for r in got] == [(0, 1)]
