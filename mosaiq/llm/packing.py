@@ -79,13 +79,14 @@ def pack(items: DataFrame, id_col: str, size: str, capacity: int, scratch: Scrat
 
     Pieces before the last fill a container each; the last is packed like an item. Items of size 0, or of null
     size (which counts as 0), take no room and are dealt over the containers in turn; if there are no other items
-    they share one. Repeated ids are items of their own only if rows differ in number: give unique ids. Items with
-    a null id are left out. Best fit: from the largest down, each container takes the largest item it has room for.
+    they share one. Rows with the same id are one item, of the largest size among them. Items with a null id are left
+    out. Best fit: from the largest down, each container takes the largest item it has room for.
     """
     s = scratch or Scratch(items.sparkSession, "pack")
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     d = items.select(F.col(f"`{id_col}`").alias("id"), F.greatest(F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)), F.lit(0)).alias("n")).where("id is not null")
+    d = d.groupBy("id").agg(F.max("n").alias("n"))
     d = d.withColumn("n_pieces", F.greatest(F.lit(1), F.ceil(F.col("n") / capacity).cast("int")))
     whole_pieces = F.when(F.col("n_pieces") > 1, F.sequence(F.lit(1), F.col("n_pieces") - 1)).otherwise(F.array().cast("array<int>"))
     full = d.select("id", "n_pieces", F.explode(whole_pieces).alias("piece")).withColumn("size", F.lit(capacity).cast("long"))

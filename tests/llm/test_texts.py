@@ -103,3 +103,14 @@ def test_passages(spark):
     assert got == {(1, "en"), (1, "de"), (2, "en"), (3, "de")}
     assert all(0 <= r["confidence"] <= 1 for r in p.collect())
     assert [r["lang"] for r in p.where("id = 1").orderBy("passage").collect()] == ["en", "de", "en"]
+
+
+def test_pack_repeated_ids(spark):
+    rows = [(i, 10 + i) for i in range(30)] * 2 + [(0, 3), (100, 60), (100, 60), (100, 55), (200, 250), (200, 250), (300, 0), (300, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, n long"), "doc_id", "n", 100).collect()
+    pieces = sorted((r["id"], r["piece"], r["size"]) for r in got)
+    assert pieces == [*((i, 1, 10 + i) for i in range(30)), (100, 1, 60), (200, 1, 100), (200, 2, 100), (200, 3, 50), (300, 1, 0)]
+    fill = {}
+    for r in got:
+        fill[r["bin"]] = fill.get(r["bin"], 0) + r["size"]
+    assert max(fill.values()) <= 100
