@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaiq.functions.paths import once, parse_parts, resolve_parts, run_parts, same_configuration, score_text
-from mosaiq.session import filesystem, new_path
+from mosaiq.operators.communities import connected
+from mosaiq.session import Scratch, filesystem, new_path
 
 SCORE_TOLERANCE = 1e-4
 
@@ -83,23 +85,52 @@ def same_record_pairs(records: DataFrame, tol: float = SCORE_TOLERANCE) -> DataF
 def record_classes(records: DataFrame, tol: float = SCORE_TOLERANCE) -> DataFrame:
     """(file_id, record_key, record_id, n_files): each file with the record it holds.
 
-    Within a key, scores closer than ``tol`` are one record, also through others between them; normalized scores
-    aren't used here, so a record never splits. Classes are found on bins of width ``tol``, of which a key has few,
-    so that no key's files are gathered. record_id is the smallest file_id of the class.
+    Within a key, files that same_record_pairs finds equal are one record, also through others between them, but a
+    file without a normalized score never joins two records that have different ones: it counts to the one with the
+    smallest id. Only distinct scores are compared, so no key's files are gathered. record_id is the smallest file_id
+    of the class, among those with a normalized score if there are any.
     """
-    from pyspark.sql import Window as W
-
-    b = records.withColumn("bin", F.floor(F.col("raw") / tol))
-    bins = b.groupBy("record_key", "bin").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.min("file_id").alias("first"), F.countDistinct("file_id").alias("n"))
-    w = W.partitionBy("record_key").orderBy("bin")
-    starts = F.coalesce((F.col("lo") - F.lag("hi").over(w) >= tol).cast("int"), F.lit(1))
-    bins = bins.withColumn("starts", starts).withColumn("class", F.sum("starts").over(w))
-    c = W.partitionBy("record_key", "class")
-    bins = bins.select("record_key", "bin", F.min("first").over(c).alias("record_id"), F.sum("n").over(c).alias("n_files"))
-    return b.select("file_id", "record_key", "bin").distinct().join(bins, ["record_key", "bin"]).drop("bin")
+    s = Scratch(records.sparkSession, "classes")
+    key = ["record_key", "raw", "normalized"]
+    p = s.put(records.groupBy(*key).agg(F.min("file_id").alias("first")).withColumn("p", F.xxhash64(*key)).withColumn("bin", F.floor(F.col("raw") / tol)), "points")
+    full, bare = p.where("normalized is not null"), p.where("normalized is null")
+    other = full.select("record_key", F.col("raw").alias("raw_2"), F.col("normalized").alias("normalized_2"), F.col("p").alias("v"), "bin")
+    near = lambda df: df.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))).join(other, ["record_key", "bin"]).where(F.abs(F.col("raw") - F.col("raw_2")) < tol)
+    pairs = near(full).where((F.abs(F.col("normalized") - F.col("normalized_2")) < tol) & (F.col("p") < F.col("v"))).select(F.col("p").alias("u"), "v")
+    root = full.join(connected(s, pairs).toDF("p", "root"), "p", "left").select("record_key", "p", "first", F.coalesce("root", "p").alias("root"))
+    ids = root.groupBy("root").agg(F.min("first").alias("record_id"))
+    root = s.put(root.join(ids, "root").select("p", "record_id"), "roots")
+
+    # scores without a normalized one: chains of raw scores, each to the first record that it touches
+    w = W.partitionBy("record_key").orderBy("raw")
+    starts = F.coalesce((F.col("raw") - F.lag("raw").over(w) >= tol).cast("int"), F.lit(1))
+    bare = bare.withColumn("starts", starts).withColumn("chain", F.sum("starts").over(w)).drop("starts")
+    bare = s.put(bare, "chains")
+    touched = near(bare).join(root.withColumnRenamed("p", "v"), "v").groupBy("record_key", "chain").agg(F.min("record_id").alias("record_id"))
+    own = bare.groupBy("record_key", "chain").agg(F.min("first").alias("own")).join(touched, ["record_key", "chain"], "left").select("record_key", "chain", F.coalesce("record_id", "own").alias("record_id"))
+    of = s.put(root.unionByName(bare.join(own, ["record_key", "chain"]).select("p", "record_id")), "classes")
+    c = records.withColumn("p", F.xxhash64(*key)).join(of, "p").select("file_id", "record_key", "record_id").distinct()
+    n = c.groupBy("record_key", "record_id").agg(F.countDistinct("file_id").alias("n_files"))
+    return c.join(n, ["record_key", "record_id"]).select("file_id", "record_key", "record_id", "n_files")
+
+
+def kept_files(spark: SparkSession, files: DataFrame, target_bytes: int = 128 << 20, out: str | None = None) -> DataFrame:
+    """One row of each record's kept file, with all columns, as a compacted table, written as ``compact`` does.
+
+    The kept file is that whose file_id is the record_id. Of repeated rows of it the latest modified counts.
+    """
+    rows = Scratch(spark, "kept").put(files, "files")
+    r = score_records(rows)
+    keep = record_classes(r).where("file_id = record_id").select("file_id").distinct()
+    order = [F.desc("modified_at")] if "modified_at" in files.columns else []
+    w = W.partitionBy("file_id").orderBy(*order, "file_path", "file_text")
+    kept = rows.where("file_path is not null and file_text is not null").join(keep, "file_id", "left_semi")
+    kept = Scratch(spark, "kept").put(kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n"), "kept")
+    if kept.count() != keep.count():
+        raise RuntimeError("not every record has its kept file")
+    return compact(kept, out or new_path(spark, "kept"), target_bytes)
 
 
 def compact_score_files(spark: SparkSession, files: DataFrame, target_bytes: int = 128 << 20, out: str | None = None) -> DataFrame:
-    """All rows of the tiny files as one compacted table (file_id, file_path, file_text, modified_at)."""
-    cols = [c for c in ("file_id", "file_path", "file_text", "modified_at") if c in files.columns]
-    return compact(files.select(*cols), out or new_path(spark, "compact"), target_bytes)
+    """All rows and columns of the tiny files as one compacted table."""
+    return compact(files, out or new_path(spark, "compact"), target_bytes)

@@ -25,7 +25,12 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_compacted(spark: SparkSession, d: str) -> DataFrame:
     """The rows of all tiny files as they are after compaction."""
-    return compact.compact_score_files(spark, table(spark, d, "score_files"))
+    return compact.compact_score_files(spark, table(spark, d, "score_files")).select("file_id", "file_path", "file_text", "modified_at")
+
+
+def p1_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The file that is kept for each record, in full, as a compacted table."""
+    return compact.kept_files(spark, table(spark, d, "score_files"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +86,7 @@ hit as (select p.cell_id, e.region_id,
 inside as (select cell_id key_1, region_id key_2 from hit group by all having sum(crossing::int) % 2 = 1 or bool_or(onit))
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_compacted, p2_found, p2_unified, p4_found, p4_region_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_compacted, p1_kept, p2_found, p2_unified, p4_found, p4_region_counts)}
 
 SQL = {
     "p1_compacted": "select file_id, file_path, file_text, modified_at from score_files",

@@ -56,3 +56,14 @@ def test_record_classes_and_hot_key(spark):
     c = compact.record_classes(df)
     assert c.select("record_id").distinct().count() == 3
     assert {r["n_files"] for r in c.select("n_files").distinct().collect()} == {1000}
+
+
+def test_records_with_other_normalized_scores_are_kept(spark):
+    p = "m/run_1/LeidenRawCosine/res_0/s.01.score"
+    texts = {1: "0.50005", 2: "0.5\t0.7", 3: "0.5\t0.8", 4: "0.5\t0.70005", 5: "0.6", 6: "0.60005", 7: "0.50009\t0.9", 8: "0.50018\t0.7", 9: "nan"}
+    df = files(spark, [(i, p, t, None, f"x{i}") for i, t in texts.items()] + [(2, p, texts[2], None, "x2")])
+    got = {r["file_id"]: (r["record_id"], r["n_files"]) for r in compact.record_classes(compact.score_records(df)).collect()}
+    assert got == {1: (2, 3), 2: (2, 3), 4: (2, 3), 3: (3, 1), 5: (5, 2), 6: (5, 2), 7: (7, 1), 8: (8, 1)}
+    kept = compact.kept_files(spark, df)
+    assert sorted((r["file_id"], r["extra"]) for r in kept.collect()) == [(i, f"x{i}") for i in (2, 3, 5, 7, 8)]
+    assert compact.compact_score_files(spark, df).columns == df.columns
