@@ -6,9 +6,15 @@ neighbours don't swap. Communities that fall apart are split into their connecte
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.operators.forests import local_forest
+from mosaiq.operators.vectors import whole
 from mosaiq.session import Scratch
 
 
@@ -29,22 +35,50 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return t.select((F.coalesce("i", F.lit(0.0)) / F.col("m2") - resolution * F.col("kk") / (F.col("m2") * F.col("m2"))).alias("modularity"))
 
 
+IN_ONE_TASK = 200_000  # edges that one task finishes, as rounds of joins over so few would only cost time
+
+
+def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kernel: all pairs of a task to (u, p), p being the smallest id of u's component."""
+    t = whole(batches)
+    if t is not None:
+        u, v = t.column("u").to_numpy(), t.column("v").to_numpy()
+        ids, inv = np.unique(np.r_[u, v], return_inverse=True)
+        label = local_forest(inv[: len(u)], inv[len(u) :], np.ones(len(ids), bool), len(ids))[0]
+        low = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(low, label, ids)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(low[label])], ["u", "p"])
+
+
 def connected(s: Scratch, pairs: DataFrame) -> DataFrame:
-    """(id, root): connected components of pairs (u, v), the root being the smallest id. Ids without pairs aren't listed."""
+    """(id, root): connected components of pairs (u, v), the root being the smallest id. Ids without pairs aren't listed.
+
+    Each round hooks every id to its smallest neighbour and contracts; what is left when few pairs are is done in one task.
+    """
     e = s.put(pairs.select("u", "v").where("u <> v").distinct(), "pairs")
-    out = s.put(e.select(F.col("u").alias("id")).union(e.select("v")).distinct().withColumn("root", F.col("id")), "roots")
-    while not e.isEmpty():
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        p = s.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")), "hooks")
-        while True:  # pointers to roots
-            nxt = s.put(p.join(p.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p", "left").select("u", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("p")).alias("moved")), "hooks")
-            p, done = nxt, nxt.where("moved").isEmpty()
-            if done:
-                break
+    out = None
+    while n := e.count():
+        if n <= IN_ONE_TASK:
+            p = s.put(e.coalesce(1).mapInArrow(_components, "u long, p long"), "hooks")
+        else:
+            both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            p = s.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")), "hooks")
+            while True:  # pointers to roots
+                nxt = s.put(p.join(p.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p", "left").select("u", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("p")).alias("moved")), "hooks")
+                s.drop(p)
+                p, done = nxt, nxt.where("moved").isEmpty()
+                if done:
+                    break
         p = p.select("u", "p")
-        out = s.put(out.join(p.toDF("root", "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root")), "roots")
-        e = s.put(e.join(p.toDF("u", "pu"), "u").join(p.toDF("v", "pv"), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v")).where("u <> v").distinct(), "pairs")
-    return out
+        new = p.toDF("id", "root") if out is None else s.put(out.join(p.toDF("root", "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root")), "roots")
+        s.drop(out)
+        out = new
+        if n <= IN_ONE_TASK:
+            break
+        left = s.put(e.join(p.toDF("u", "pu"), "u").join(p.toDF("v", "pv"), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v")).where("u <> v").distinct(), "pairs")
+        s.drop(e)
+        e = left
+    return e.select(F.col("u").alias("id"), F.col("v").alias("root")) if out is None else out
 
 
 def leiden(edges: DataFrame, resolution: float = 1.0, rounds: int = 8, levels: int = 3, seed: int = 42, scratch: Scratch | None = None) -> DataFrame:

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 40_000  # rows on which the splits of a forest are fitted, at most
+SAMPLE = 40_000  # rows on which the upper splits of a forest are fitted, at most
+PER_LEAF = 4_096  # rows on which the splits below one of its leaves are fitted, on average
 TASK_ROWS = 60_000  # rows that meet in one task, on average
 
 
@@ -68,7 +69,7 @@ def split_at(p: np.ndarray) -> float:
     return float((mid[i] + mid[i + 1]) / 2)
 
 
-def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int | list[int]) -> list[tuple[np.ndarray, list[np.ndarray]]]:
     """For each tree one direction per level, and one threshold per node of the level."""
     rng, out = np.random.default_rng(seed), []
     for _ in range(trees):
@@ -144,32 +145,80 @@ def leaf_edges(x: np.ndarray, ids: np.ndarray, k: int, r2: float) -> tuple[np.nd
     return i[keep], j[keep], d2[keep]
 
 
-def sample_vectors(df: DataFrame, vec: str, dim: int, rows: int, seed: int) -> np.ndarray:
-    """At most SAMPLE valid vectors."""
-    share = min(1.0, 1.2 * SAMPLE / max(rows, 1))
+def sample_vectors(df: DataFrame, vec: str, dim: int, rows: int, seed: int, most: int = SAMPLE) -> np.ndarray:
+    """At most ``most`` valid vectors."""
+    share = min(1.0, 1.2 * most / max(rows, 1))
     got = df.select(F.col(f"`{vec}`").alias("v")).where(F.size("v") == dim)
-    got = (got.sample(False, share, seed) if share < 1 else got).limit(SAMPLE).toArrow()
+    got = (got.sample(False, share, seed) if share < 1 else got).limit(most).toArrow()
     return unpack(got.column("v"), dim)[1] if got.num_rows else np.empty((0, dim), np.float32)
 
 
-def grouped(df: DataFrame, id_col: str, vec: str, dim: int, rows: int, trees: int, leaf: int, seed: int) -> DataFrame:
-    """(leaf, id, v): each valid row once per tree, with its leaf, hash-partitioned by leaf. v is binary."""
-    depth = max(0, int(np.ceil(np.log2(max(rows, 1) / leaf)))) if rows > leaf else 0
-    sample = sample_vectors(df, vec, dim, rows, seed)
-    depth = min(depth, int(np.log2(max(len(sample) / 8, 1))))  # beyond that, tasks split their leaves themselves
-    forest = fit_forest(sample, trees, depth, seed)
+def fit_below(src: DataFrame, forest: list, top: int, extra: int, dim: int, rows: int, per_leaf: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Splits below the leaves of a forest, each fitted on the sampled rows of its leaf.
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Returns (directions, thresholds): for each leaf of each tree one direction per further level, and its thresholds
+    level by level. Their size depends on the forest's and per_leaf only, not on the rows. A leaf without sampled rows
+    splits at 0.
+    """
+    share = min(1.0, per_leaf * 2.0**top / max(rows, 1))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = whole(batches)
+        if t is None:
+            return
+        leaf, x = t.column("leaf").to_numpy(), from_binary(t.column("v").chunk(0), dim)
+        order = np.argsort(leaf, kind="stable")
+        leaf, x = leaf[order], x[order]
+        cuts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1], True])
+        fitted = [fit_forest(x[a:b], 1, extra, [seed, int(leaf[a])])[0] for a, b in zip(cuts[:-1], cuts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(leaf[cuts[:-1]]), pa.array([r.tobytes() for r, _ in fitted], pa.binary()), pa.array([np.concatenate(th).tobytes() for _, th in fitted], pa.binary())], ["leaf", "r", "th"])
+
+    some = src.sample(False, share, seed) if share < 1 else src
+    parts = max(8, -(-min(rows, per_leaf << top) * len(forest) // TASK_ROWS))
+    got = some.mapInArrow(_spread(forest, top, dim, None), "leaf long, id long, v binary").repartition(parts, "leaf").mapInArrow(fit, "leaf long, r binary, th binary").toArrow()
+    n = len(forest) << top
+    r, th = np.zeros((n, dim, extra), np.float32), np.zeros((n, 2**extra - 1), np.float32)
+    for leaf, a, b in zip(*(got.column(c).to_pylist() for c in ("leaf", "r", "th"))):
+        r[leaf], th[leaf] = np.frombuffer(a, np.float32).reshape(dim, extra), np.frombuffer(b, np.float32)
+    return r, th
+
+
+def _spread(forest: list, top: int, dim: int, below):
+    """Kernel: each valid row once per tree, with its leaf. ``below`` is a broadcast of fit_below's result, or None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok, x = unpack(b.column("v"), dim)
             ids = b.column("id").to_numpy(zero_copy_only=False)[ok]
             v = to_binary(x)
             for t, tree in enumerate(forest):
-                yield pa.RecordBatch.from_arrays([pa.array(route(x, tree) + (t << depth)), pa.array(ids, pa.int64()), v], ["leaf", "id", "v"])
+                leaf = route(x, tree) + (t << top)
+                if below is not None:
+                    r, th = below.value
+                    p, node = np.einsum("nd,nde->ne", x, r[leaf]), np.zeros(len(x), np.int64)
+                    for level in range(p.shape[1]):
+                        node = node * 2 + (p[:, level] > th[leaf, 2**level - 1 + node])
+                    leaf = (leaf << p.shape[1]) + node
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(ids, pa.int64()), v], ["leaf", "id", "v"])
+
+    return run
+
 
+def grouped(df: DataFrame, id_col: str, vec: str, dim: int, rows: int, trees: int, leaf: int, seed: int, sample_rows: int = SAMPLE, per_leaf: int = PER_LEAF) -> DataFrame:
+    """(leaf, id, v): each valid row once per tree, with its leaf, hash-partitioned by leaf. v is binary.
+
+    The depth follows from the rows, so that leaves don't grow with them: levels that a sample of ``sample_rows`` can't
+    tell apart are fitted below each leaf, on ``per_leaf`` rows of it.
+    """
+    depth = max(0, int(np.ceil(np.log2(max(rows, 1) / leaf)))) if rows > leaf else 0
+    sample = sample_vectors(df, vec, dim, rows, seed, sample_rows)
+    top = min(depth, int(np.log2(max(len(sample) / 8, 1))))
+    forest = fit_forest(sample, trees, top, seed)
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec}`").alias("v")).where("id is not null and v is not null")
+    extra = min(depth - top, int(np.log2(max(per_leaf / 8, 1))))
+    below = df.sparkSession.sparkContext.broadcast(fit_below(src, forest, top, extra, dim, rows, per_leaf, seed)) if extra > 0 else None
     parts = max(8, -(-rows * trees // TASK_ROWS))
-    return src.mapInArrow(spread, "leaf long, id long, v binary").repartition(parts, "leaf")
+    return src.mapInArrow(_spread(forest, top, dim, below), "leaf long, id long, v binary").repartition(parts, "leaf")
 
 
 def leaves(table: pa.Table, dim: int, most: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -182,7 +231,6 @@ def leaves(table: pa.Table, dim: int, most: int, seed: int) -> Iterator[tuple[np
     first = np.r_[True, (leaf[1:] != leaf[:-1]) | (ids[1:] != ids[:-1])]  # repeated rows of an id
     leaf, ids, x = leaf[first], ids[first], x[first]
     cuts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1], True])
-    rng = np.random.default_rng(seed)
     for a, b in zip(cuts[:-1], cuts[1:]):
-        for g in small_groups(x, np.arange(a, b), most, rng):
+        for g in small_groups(x, np.arange(a, b), most, np.random.default_rng([seed, int(leaf[a])])):  # other directions in each leaf
             yield ids[g], x[g]
