@@ -1,9 +1,10 @@
 """Hierarchical density clustering of vectors.
 
 Mutual-reachability neighbour graph -> minimum spanning forest (Borůvka) -> condensed hierarchy -> clusters by
-stability -> exemplars. The graph comes from a forest of random splits. Borůvka runs in two parts: first inside
-regions of space, each a task that knows all edges at its vertices and contracts what is certain, then in Spark
-over the components that are left.
+stability -> exemplars. The graph comes from a forest of random splits, within whose leaves all pairs count. Borůvka
+runs in two parts: first inside regions of space, each a task that knows all edges at its vertices and contracts what
+is certain, then in Spark over the components that are left. The hierarchy is exact for the spanning forest: the
+lightest edges are worked on first, in components of bounded size that many tasks hold, then these are contracted.
 """
 
 from __future__ import annotations
@@ -17,64 +18,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaiq.operators import communities, vectors
+from mosaiq.operators.forests import local_forest
 from mosaiq.operators.vectors import leaf_edges, leaves, route, whole
 from mosaiq.session import Scratch
 
+MIN_CLUSTER = 50
+MOST_ANCHORS = 100_000  # more anchors than these aren't sent to all tasks
 REGION_ROWS = 60_000  # vertices that are contracted in one task, on average
 EDGE = "region long, a long, b long, w double, ra long, rb long"
 
 
-def pick_least(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    """For each of n components the position of its first edge (edges are in order of weight), or -1."""
-    best = np.full(n, len(u), np.int64)
-    at = np.arange(len(u))
-    np.minimum.at(best, u, at)
-    np.minimum.at(best, v, at)
-    best[best == len(u)] = -1
-    return best
+def leaf_forest(x: np.ndarray, r2: float, core: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d2): minimum spanning forest of all pairs of rows at a squared distance of at most r2 (Prim).
 
-
-def merge_labels(parent: np.ndarray) -> np.ndarray:
-    """Roots of a forest of parent pointers, by doubling."""
-    while True:
-        up = parent[parent]
-        if (up == parent).all():
-            return up
-        parent = up
-
-
-def local_forest(u: np.ndarray, v: np.ndarray, own: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Borůvka inside a task. Edges are in order of weight; ``own`` says which vertices belong here.
-
-    Returns (label of each vertex, positions of forest edges). A component joins along its lightest edge, which is
-    certain to be in the forest as all edges at own vertices are known; it waits where that edge leads outside.
+    With ``core`` distances the weight of a pair is its mutual reachability.
     """
-    label, chosen, live = np.arange(n), [], np.arange(len(u))
-    while True:
-        lu, lv = label[u[live]], label[v[live]]
-        keep = lu != lv
-        live, lu, lv = live[keep], lu[keep], lv[keep]
-        if not len(live):
-            break
-        best = pick_least(lu, lv, n)
-        c = np.flatnonzero((best >= 0) & own)
-        e = best[c]
-        inside = own[lu[e]] & own[lv[e]]
-        c, e = c[inside], e[inside]
-        if not len(c):
-            break
-        other = np.where(lu[e] == c, lv[e], lu[e])
-        parent = np.arange(n)
-        parent[c] = other
-        two = (parent[parent[c]] == c) & (c < parent[c])
-        parent[c[two]] = c[two]
-        label = merge_labels(parent)[label]
-        chosen.append(np.unique(live[e]))
-    return label, np.unique(np.concatenate(chosen)) if chosen else np.empty(0, np.int64)
-
-
-def leaf_forest(x: np.ndarray, r2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, d2): minimum spanning forest of all pairs of rows at a squared distance of at most r2 (Prim)."""
     n = len(x)
     if n < 2:
         return np.empty(0, int), np.empty(0, int), np.empty(0)
@@ -82,6 +40,8 @@ def leaf_forest(x: np.ndarray, r2: float) -> tuple[np.ndarray, np.ndarray, np.nd
     c = x - x.mean(0)
     sq = (c * c).sum(1)
     d = sq[:, None] + sq[None] - 2 * (c @ c.T)
+    c2 = np.zeros(n) if core is None else core.astype(np.float64) ** 2
+    np.maximum(d, np.maximum(c2[:, None], c2[None]), out=d)
     near, by = np.full(n, np.inf), np.zeros(n, int)  # of each vertex outside: distance to the tree, and from where
     to, at = np.full(n, -1), 0
     out = np.ones(n, bool)
@@ -101,34 +61,49 @@ def leaf_forest(x: np.ndarray, r2: float) -> tuple[np.ndarray, np.ndarray, np.nd
     i = np.flatnonzero(to >= 0)
     j = to[i]
     e = x[i] - x[j]
-    d2 = np.einsum("ij,ij->i", e, e)
+    d2 = np.maximum(np.einsum("ij,ij->i", e, e), np.maximum(c2[i], c2[j]))
     keep = d2 <= r2
     return i[keep], j[keep], d2[keep]
 
 
-def _edge_rows(dim: int, k: int, r2: float, most: int, seed: int, thin: bool, region_of):
-    """Kernel: leaves of a task to edges, each sent to the region of either end.
+def _nearest(dim: int, k: int, r2: float, most: int, seed: int):
+    """Kernel: leaves of a task to the k nearest of each vector, as (s, o, w)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = whole(batches)
+        if t is None:
+            return
+        for ids, x in leaves(t, dim, most, seed):
+            i, j, d2 = leaf_edges(x, ids, k, r2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(np.sqrt(d2))], ["s", "o", "w"])
+
+    return run
+
 
-    With ``thin`` these are the minimum spanning forests of all pairs in a leaf, else the k nearest of each vertex.
+def _edge_rows(dim: int, cored: bool, r2: float, most: int, seed: int, region_of):
+    """Kernel: leaves of a task to the minimum spanning forests of all their pairs, each edge sent to the region of either end.
+
+    With ``cored`` the last number of a vector is its core distance.
     """
+    wide = dim + cored
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = whole(batches)
         if t is None:
             return
         parts, start = [], 0
-        for ids, x in leaves(t, dim, most, seed):
-            i, j, d2 = leaf_forest(x, r2) if thin else leaf_edges(x, ids, k, r2)
-            parts.append((i + start, j + start, d2, ids, region_of(x)))
+        for ids, x in leaves(t, wide, most, seed):
+            y = np.ascontiguousarray(x[:, :dim])
+            i, j, d2 = leaf_forest(y, r2, x[:, dim] if cored else None)
+            parts.append((i + start, j + start, d2, ids, region_of(y)))
             start += len(ids)
         i, j, d2 = (np.concatenate([p[n] for p in parts]) for n in range(3))
         ids, reg = (np.concatenate([p[n] for p in parts]) for n in (3, 4))
         a, b = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
         order = np.lexsort((ids[b], ids[a], d2))
         a, b, w = a[order], b[order], np.sqrt(d2[order])
-        if thin:  # edges outside the leaves' own minimum spanning forest can't be in that of all
-            keep = local_forest(a, b, np.ones(start, bool), start)[1]
-            a, b, w = a[keep], b[keep], w[keep]
+        keep = local_forest(a, b, np.ones(start, bool), start)[1]  # what the leaves' own forests leave out can't be in that of all
+        a, b, w = a[keep], b[keep], w[keep]
         ra, rb = reg[a], reg[b]
         for r, m in ((ra, np.ones(len(a), bool)), (rb, ra != rb)):
             yield pa.RecordBatch.from_arrays([pa.array(r[m]), pa.array(ids[a][m]), pa.array(ids[b][m]), pa.array(w[m]), pa.array(ra[m]), pa.array(rb[m])], ["region", "a", "b", "w", "ra", "rb"])
@@ -182,32 +157,40 @@ def boruvka(s: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     e = s.put(edges.where("u <> v").select("u", "v", "w", "a", "b"), "edges")
     roots, trees = None, []
-    while not e.isEmpty():
-        pick = lambda c, o: e.select(F.col(c).alias("c"), F.struct("w", "a", "b", F.col(o).alias("o")).alias("e"))
-        best = s.put(pick("u", "v").unionAll(pick("v", "u")).groupBy("c").agg(F.min("e").alias("e")), "best")
-        trees.append(s.put(best.select("e.a", "e.b", "e.w").distinct(), "tree"))
-        p = best.select("c", F.col("e.o").alias("p"))
-        back = p.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        p = p.join(back, "p", "left").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p"))
-        p = s.put(p, "parents")
-        while True:
-            up = p.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-            nxt = s.put(p.join(up, "p", "left").select("c", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("p")).alias("moved")), "parents")
-            s.drop(p)
-            p = nxt
-            if p.where("moved").isEmpty():
-                break
-        p = p.select("c", F.col("p").alias("r"))
+    while n_edges := e.count():
+        if n_edges <= communities.IN_ONE_TASK:
+            last = s.put(e.coalesce(1).mapInArrow(_finish, FINISHED), "last")
+            trees.append(last.where("kind = 0").select("a", "b", "w"))
+            p = last.where("kind = 1").select(F.col("a").alias("c"), F.col("b").alias("r"))
+        else:
+            pick = lambda c, o: e.select(F.col(c).alias("c"), F.struct("w", "a", "b", F.col(o).alias("o")).alias("e"))
+            best = s.put(pick("u", "v").unionAll(pick("v", "u")).groupBy("c").agg(F.min("e").alias("e")), "best")
+            trees.append(s.put(best.select("e.a", "e.b", "e.w").distinct(), "tree"))
+            p = best.select("c", F.col("e.o").alias("p"))
+            back = p.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+            p = p.join(back, "p", "left").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p"))
+            p = s.put(p, "parents")
+            s.drop(best)
+            while True:
+                up = p.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+                nxt = s.put(p.join(up, "p", "left").select("c", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("p")).alias("moved")), "parents")
+                s.drop(p)
+                p = nxt
+                if p.where("moved").isEmpty():
+                    break
+            p = p.select("c", F.col("p").alias("r"))
         if roots is None:
-            new_roots = s.put(p.select(F.col("c").alias("label"), F.col("r").alias("root")), "roots")
+            roots = s.put(p.select(F.col("c").alias("label"), F.col("r").alias("root")), "roots")
         else:
             new_roots = s.put(roots.join(p.withColumnRenamed("c", "root"), "root", "left").select("label", F.coalesce("r", "root").alias("root")), "roots")
             s.drop(roots)
-        roots = new_roots
+            roots = new_roots
+        if n_edges <= communities.IN_ONE_TASK:
+            break
         n = e.join(p.toDF("u", "ru"), "u").join(p.toDF("v", "rv"), "v").where("ru <> rv")
         n = n.groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.min(F.struct("w", "a", "b")).alias("e")).select("u", "v", "e.w", "e.a", "e.b")
         nxt = s.put(n, "edges")
-        s.drop(e, best)
+        s.drop(e)
         e = nxt
     spark = edges.sparkSession
     if roots is None:
@@ -218,30 +201,49 @@ def boruvka(s: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return roots, tree
 
 
-def spanning_forest(df: DataFrame, id_col: str, vec: str, dim: int, radius: float, min_samples: int = 2, k: int = 5, trees: int = 3, leaf: int = 320, seed: int = 11, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+FINISHED = "kind byte, a long, b long, w double"
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kernel: all edges of a task to forest edges (kind 0: a, b, w) and the component of each end (kind 1: a, b)."""
+    t = whole(batches)
+    if t is None:
+        return
+    u, v, w, a, b = (t.column(c).to_numpy() for c in ("u", "v", "w", "a", "b"))
+    order = np.lexsort((b, a, w))
+    ids, inv = np.unique(np.r_[u, v], return_inverse=True)
+    label, chosen = local_forest(inv[: len(u)][order], inv[len(u) :][order], np.ones(len(ids), bool), len(ids))
+    c = order[chosen]
+    rows = lambda kind, a, b, w: pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(w)], ["kind", "a", "b", "w"])
+    yield rows(0, a[c], b[c], w[c])
+    yield rows(1, ids, ids[label], np.zeros(len(ids)))
+
+
+def spanning_forest(df: DataFrame, id_col: str, vec: str, dim: int, radius: float, min_samples: int = 2, trees: int = 3, leaf: int = 320, seed: int = 11, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Minimum spanning forest of the mutual-reachability graph, and the component of each vertex.
 
     The mutual reachability of two vectors is the largest of their distance and their core distances; a core
     distance is that to the (min_samples - 1)-th nearest other vector. Edges longer than ``radius`` are left out.
     For min_samples up to 2 the mutual reachability is the distance itself, as no other vector is nearer than the
-    nearest; leaves then send on only their own forests, of all their pairs. Equal vectors take part as one, their
+    nearest. Leaves send on only their own forests, of all their pairs. Equal vectors take part as one, their
     smallest id, and its copies join its component afterwards. Returns edges (a, b, w) and (id, component) of all
     vectors that have an edge. Vectors that are null, short or not finite don't count, repeated rows of an id count
-    once.
+    once. An edge whose ends all trees separate is missed.
     """
     s = scratch or Scratch(df.sparkSession, "density")
-    k = max(k, min_samples)
     df, held, members = _heads(s, df, id_col, vec, dim)
-    id_col, vec = "id", "v"
     rows = df.count()
     depth = max(0, int(np.ceil(np.log2(max(rows, 1) / REGION_ROWS))))
-    sample = vectors.sample_vectors(df, vec, dim, rows, seed + 1)
+    sample = vectors.sample_vectors(df, "v", dim, rows, seed + 1)
     depth = min(depth, int(np.log2(max(len(sample) / 8, 1))))
     tree = vectors.fit_forest(sample, 1, depth, seed + 1)[0]
-    g = vectors.grouped(df, id_col, vec, dim, rows, trees, leaf, seed)
-    e = g.mapInArrow(_edge_rows(dim, k, float(radius) ** 2, 2 * leaf, seed, min_samples <= 2, lambda x: route(x, tree)), EDGE)
-    if min_samples > 2:
-        e, core = _mutual(s.put(e, "near"), held, min_samples, radius)
+    cored, r2 = min_samples > 2, float(radius) ** 2
+    if cored:
+        near = vectors.grouped(df, "id", "v", dim, rows, trees, leaf, seed).mapInArrow(_nearest(dim, min_samples - 1, r2, 2 * leaf, seed), "s long, o long, w double")
+        core = s.put(_cores(near, held, min_samples), "cores")
+        df = df.join(core, "id").select("id", F.concat("v", F.array(F.col("core").cast("float"))).alias("v"))
+    g = vectors.grouped(df, "id", "v", dim + cored, rows, trees, leaf, seed)
+    e = g.mapInArrow(_edge_rows(dim, cored, r2, 2 * leaf, seed, lambda x: route(x, tree)), EDGE)
     regions = max(1, -(-rows // REGION_ROWS))
     c = s.put(e.repartition(regions, "region").mapInArrow(_contract, CONTRACTED), "contracted")
     labels = c.where(f"kind = {LABEL}").select(F.col("a").alias("id"), F.col("la").alias("label"))
@@ -251,7 +253,7 @@ def spanning_forest(df: DataFrame, id_col: str, vec: str, dim: int, radius: floa
     comp = s.put(labels.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("component")), "components")
     forest = c.where(f"kind = {TREE}").select("a", "b", "w").unionByName(forest)
     # copies hang on their head, by its core distance
-    own = held.select(F.col("head"), F.lit(0.0).alias("w")) if min_samples <= 2 else held.select("head").join(core.where(F.col("core") <= radius).toDF("head", "w"), "head")
+    own = held.select("head").join(core.toDF("head", "w"), "head") if cored else held.select(F.col("head"), F.lit(0.0).alias("w"))
     link = s.put(members.join(own, "head").select(F.col("head").alias("a"), F.col("id").alias("b"), "w"), "links")
     at = own.select("head").join(comp.withColumnRenamed("id", "head"), "head", "left").select("head", F.coalesce("component", "head").alias("component"))
     ends = link.select(F.col("a").alias("head"), F.col("b").alias("id")).unionAll(own.join(comp.select(F.col("id").alias("head")), "head", "left_anti").select("head", F.col("head").alias("id")))
@@ -267,101 +269,252 @@ def _heads(s: Scratch, df: DataFrame, id_col: str, vec: str, dim: int) -> tuple[
     return s.put(d.join(members.select("id"), "id", "left_anti"), "heads"), held.select("head", "n"), members
 
 
-def _mutual(near: DataFrame, held: DataFrame, min_samples: int, radius: float) -> tuple[DataFrame, DataFrame]:
-    """Edges of k-nearest lists with mutual reachability for weight, sent to the regions of both ends, and the cores.
+def _cores(near: DataFrame, held: DataFrame, min_samples: int) -> DataFrame:
+    """(id, core) from lists of nearest vectors (s, o, w), of the vectors that have so many others within the radius.
 
     A vector held by n ids counts n times among the nearest of others and n - 1 times among its own.
     """
-    both = near.select(F.col("a").alias("s"), F.col("b").alias("o"), "w").unionAll(near.select(F.col("b").alias("s"), F.col("a").alias("o"), "w")).distinct()
+    both = near.unionAll(near.select(F.col("o").alias("s"), F.col("s").alias("o"), "w")).distinct()
     both = both.join(held.toDF("o", "n"), "o", "left").select("s", "o", "w", F.coalesce("n", F.lit(1)).alias("n"))
     both = both.unionByName(held.select(F.col("head").alias("s"), F.col("head").alias("o"), F.lit(0.0).alias("w"), (F.col("n") - 1).alias("n")))
     w = W.partitionBy("s").orderBy("w", "o").rowsBetween(W.unboundedPreceding, 0)
-    core = both.withColumn("n", F.sum("n").over(w)).where(F.col("n") >= min_samples - 1).groupBy("s").agg(F.min("w").alias("core"))
-    e = near.join(core.toDF("a", "ca"), "a").join(core.toDF("b", "cb"), "b")
-    return e.select("region", "a", "b", F.greatest("w", "ca", "cb").alias("w"), "ra", "rb").where(F.col("w") <= radius), core
+    return both.withColumn("n", F.sum("n").over(w)).where(F.col("n") >= min_samples - 1).groupBy(F.col("s").alias("id")).agg(F.min("w").alias("core"))
+
+
+MOST_EDGES = 200_000  # forest edges of one component that a task works on in order
+STEP_IN = "r long, kind byte, a long, b long, w double, size long, node long, s1 double, below double"
+STEP_OUT = "kind byte, a long, b long, x double, size long, below double, self boolean"
+COMPONENT, EDGE_ROW = 0, 1
+ALIVE, ABSORBED, CLOSED = 0, 1, 2
+
+
+def _join_up(min_size: int, eps: float):
+    """Kernel: components and the edges that join them to what they become, in order of weight.
+
+    Rows of a task are whole groups of components that its edges connect. Out come the components that are left
+    (ALIVE: name, node, s1, size, below), the components that came into a node (ABSORBED: component, node, density), and
+    the nodes that ended in another (CLOSED: node, parent, own stability, size, whether it is at least as stable as the
+    best below it). A node is named after the component that it begins in, or that ends with it: 2 c, or 2 c + 1.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = whole(batches)
+        if t is None:
+            return
+        kind, a, b, w = (t.column(c).to_numpy() for c in ("kind", "a", "b", "w"))
+        is_edge = kind == EDGE_ROW
+        ids, inv = np.unique(np.r_[a, b[is_edge]], return_inverse=True)
+        n = len(ids)
+        size, node, s1, below = np.ones(n, np.int64), np.full(n, -1, np.int64), np.zeros(n), np.zeros(n)
+        c = np.flatnonzero(~is_edge)
+        for out, name in ((size, "size"), (node, "node"), (s1, "s1"), (below, "below")):
+            out[inv[c]] = t.column(name).to_numpy()[c]
+        e = np.flatnonzero(is_edge)
+        order = np.argsort(w[e], kind="stable")
+        u, v, w = inv[e][order].tolist(), inv[len(a) :][order].tolist(), w[e][order].tolist()
+        name, size, node, s1, below = ids.tolist(), size.tolist(), node.tolist(), s1.tolist(), below.tolist()
+        parent, members = list(range(n)), {}
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        absorbed, closed = [], []
+        i, m = 0, len(w)
+        while i < m:
+            at, parts = w[i], {}
+            while i < m and w[i] == at:  # edges of equal weight are one event
+                p, q = find(u[i]), find(v[i])
+                i += 1
+                if p != q:
+                    if size[p] < size[q]:
+                        p, q = q, p
+                    got = parts.pop(p, None) or [(p, size[p])]
+                    got += parts.pop(q, None) or [(q, size[q])]
+                    parts[p] = got
+                    parent[q] = p
+                    size[p] += size[q]
+            density = 1.0 / (at + eps)
+            for p, old in parts.items():
+                kept = [x for x in old if node[x[0]] >= 0]
+                names = min(name[x] for x, _ in old)
+                small = [x for x in old if node[x[0]] < 0]
+                if not kept and size[p] < min_size:
+                    members[p] = [z for x, _ in small for z in members.pop(x, (x,))]
+                    name[p] = names
+                    continue
+                if len(kept) == 1:
+                    k = kept[0][0]
+                    now, s, low = node[k], s1[k] + density * sum(x for _, x in small), below[k]
+                else:
+                    now = 2 * max(name[x] for x, _ in kept) + 1 if kept else 2 * names
+                    s, low = size[p] * density, 0.0
+                    for x, n_x in kept:
+                        own = s1[x] - n_x * density
+                        closed.append((node[x], now, own, n_x, own >= below[x]))
+                        low += max(own, below[x])
+                for x, _ in small:
+                    absorbed += [(ids[z], now, density) for z in members.pop(x, (x,))]
+                node[p], s1[p], below[p], name[p] = now, s, low, names
+        cols = ["kind", "a", "b", "x", "size", "below", "self"]
+
+        def rows(kind: int, a, b, x, size=None, below=None, self=None) -> pa.RecordBatch:
+            k = len(a)
+            null = lambda v, ty: pa.nulls(k, ty) if v is None else pa.array(v, ty)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int8)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(x, pa.float64()), null(size, pa.int64()), null(below, pa.float64()), null(self, pa.bool_())], cols)
+
+        left = [p for p in range(n) if parent[p] == p]
+        pick = lambda col: [col[p] for p in left]
+        yield rows(ALIVE, pick(name), pick(node), pick(s1), pick(size), pick(below))
+        if absorbed:
+            yield rows(ABSORBED, *zip(*absorbed))
+        if closed:
+            node_, to, own, n_, self_ = zip(*closed)
+            yield rows(CLOSED, node_, to, own, n_, None, self_)
+
+    return run
+
+
+def _one_event(root: DataFrame, comp: DataFrame, density: float, min_size: int) -> DataFrame:
+    """What _join_up gives if all edges have one weight, as joins and aggregations: no group meets in a task."""
+    c = root.join(comp, "c", "left").select("c", "r", F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("node", F.lit(-1)).alias("node"), F.coalesce("s1", F.lit(0.0)).alias("s1"), F.coalesce("below", F.lit(0.0)).alias("below"))
+    kept, own = F.col("node") >= 0, F.col("s1") - F.col("size") * density
+    g = c.groupBy("r").agg(F.sum("size").alias("total"), F.count_if(kept).alias("kept"), F.max(F.when(kept, F.col("c"))).alias("last"), F.max("node").alias("one"), F.sum(F.when(kept, F.col("s1"))).alias("one_s1"), F.sum(F.when(~kept, F.col("size"))).alias("small"), F.sum(F.when(kept, F.col("below"))).alias("one_below"), F.sum(F.when(kept, F.greatest(own, "below"))).alias("best"))
+    now = F.when(F.col("kept") == 1, F.col("one")).when(F.col("kept") > 1, F.col("last") * 2 + 1).when(F.col("total") >= min_size, F.col("r") * 2).otherwise(-1)
+    s1 = F.when(F.col("kept") == 1, F.col("one_s1") + F.coalesce("small", F.lit(0)) * density).when(F.col("now") >= 0, F.col("total") * density).otherwise(0.0)
+    below = F.when(F.col("kept") == 1, F.col("one_below")).otherwise(F.coalesce("best", F.lit(0.0)))
+    g = g.withColumn("now", now).select("r", "total", "kept", "now", s1.alias("g_s1"), below.alias("g_below"))
+    row = lambda df, kind, a, b, x, size=F.lit(None), low=F.lit(None), self=F.lit(None): df.select(F.lit(kind).cast("byte").alias("kind"), a.alias("a"), b.alias("b"), x.cast("double").alias("x"), size.cast("long").alias("size"), low.cast("double").alias("below"), self.cast("boolean").alias("self"))
+    j = c.join(g, "r")
+    return (
+        row(g, ALIVE, F.col("r"), F.col("now"), F.col("g_s1"), F.col("total"), F.col("g_below"))
+        .unionByName(row(j.where("node < 0 and now >= 0"), ABSORBED, F.col("c"), F.col("now"), F.lit(density)))
+        .unionByName(row(j.where("node >= 0 and kept > 1"), CLOSED, F.col("node"), F.col("now"), own, F.col("size"), F.lit(None), own >= F.col("below")))
+    )
+
+
+def hierarchy(s: Scratch, forest: DataFrame, min_cluster_size: int, end: float, most_edges: int = MOST_EDGES) -> tuple[DataFrame, DataFrame]:
+    """The condensed hierarchy of a spanning forest (a, b, w), up to the weight ``end``.
+
+    Returns nodes (node, parent, own, size, self, component) and vertices (id, component, node, density). From the
+    smallest weights up, components join along the edges. One that reaches min_cluster_size is a node of the
+    condensed tree, which goes on while it only gains smaller components; two or more that join make a new node. own is
+    the node's stability, the sum over its vertices of the density (1 / weight) at which each came in less that at which
+    the node ended; self says that it is at least as stable as the best choice below it. A vertex has the node that it
+    came into and the density at which it did, none if it never was in a component of min_cluster_size. component, of
+    vertices without a node and of nodes without a parent, is what ``end`` leaves: the smallest vertex of it.
+
+    The order of weights is worked on in steps: edges up to a weight, in components of at most most_edges edges, each in
+    one task; then these are contracted. Equal weights that join more are one event, made by aggregation.
+    """
+    spark = forest.sparkSession
+    eps = end / 1000
+    e = s.put(forest.select(F.col("a").alias("u"), F.col("b").alias("v"), "w"), "order")
+    v = s.put(e.select(F.col("u").alias("id")).unionAll(e.select("v")).distinct().withColumn("c", F.col("id")), "vertices")
+    comp = spark.createDataFrame([], "c long, size long, node long, s1 double, below double")
+    closed, done = [], []
+    left = e.count()
+    while left:
+        t, event = None, False
+        if left > most_edges:
+            t = e.agg(F.percentile_approx("w", 0.5, 10_000)).first()[0]
+        while True:
+            now = e if t is None else e.where(F.col("w") <= t)
+            root = s.put(communities.connected(s, now).toDF("c", "r"), "root")
+            tagged = s.put(now.join(root.toDF("u", "r"), "u").select("r", "u", "v", "w"), "now")
+            if t is None or tagged.groupBy("r").count().where(F.col("count") > most_edges).isEmpty():
+                break
+            lower, least = tagged.agg(F.percentile_approx("w", 0.5, 10_000), F.min("w")).first()
+            if t == least:
+                event = True
+                break
+            t = lower if lower < t else least
+            s.drop(root, tagged)
+        if event:
+            out = _one_event(root, comp, 1.0 / (t + eps), min_cluster_size)
+        else:
+            null = lambda ty: F.lit(None).cast(ty)
+            rows = tagged.select("r", F.lit(EDGE_ROW).cast("byte").alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), "w", null("long").alias("size"), null("long").alias("node"), null("double").alias("s1"), null("double").alias("below"))
+            rows = rows.unionByName(comp.join(root, "c").select("r", F.lit(COMPONENT).cast("byte").alias("kind"), F.col("c").alias("a"), null("long").alias("b"), null("double").alias("w"), "size", "node", "s1", "below"))
+            parts = max(8, -(-left // most_edges))
+            out = rows.repartition(parts, "r").mapInArrow(_join_up(min_cluster_size, eps), STEP_OUT)
+        out = s.put(out, "step")
+        new = out.where(f"kind = {ALIVE} and size > 1").select(F.col("a").alias("c"), "size", F.col("b").alias("node"), F.col("x").alias("s1"), "below")
+        comp = s.put(comp.join(root, "c", "left_anti").unionByName(new), "components")
+        closed.append(out.where(f"kind = {CLOSED}").select(F.col("a").alias("node"), F.col("b").alias("parent"), F.col("x").alias("own"), "size", "self"))
+        came = out.where(f"kind = {ABSORBED}").select(F.col("a").alias("c"), F.col("b").alias("node"), F.col("x").alias("density"))
+        moved = s.put(v.join(root.join(came, "c", "left"), "c", "left").select("id", F.coalesce("r", "c").alias("c"), "node", "density"), "vertices")
+        done.append(moved.where("node is not null").select("id", "node", "density"))
+        v = moved.where("node is null").select("id", "c")
+        if t is None:
+            break
+        e = s.put(e.where(F.col("w") > t).join(root.toDF("u", "ru"), "u", "left").join(root.toDF("v", "rv"), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"), "w"), "order")
+        left = e.count()
+    own = F.col("s1") - F.col("size") / (end + eps)
+    nodes = comp.where("node >= 0").select("node", F.lit(None).cast("long").alias("parent"), own.alias("own"), "size", (own >= F.col("below")).alias("self"), F.col("c").alias("component"))
+    for c in closed:
+        nodes = nodes.unionByName(c.withColumn("component", F.lit(None).cast("long")))
+    vertices = v.select("id", F.col("c").alias("component"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("density"))
+    for d in done:
+        vertices = vertices.unionByName(d.withColumn("component", F.lit(None).cast("long")).select("id", "component", "node", "density"))
+    return s.put(nodes, "tree"), s.put(vertices, "placed")
+
+
+def _climb(s: Scratch, nodes: DataFrame) -> DataFrame:
+    """(node, root, chosen): the root above each node, and the topmost node at or above it that is chosen for its stability.
+
+    By pointer doubling: as many rounds as the binary logarithm of the tree's depth.
+    """
+    p = s.put(nodes.select("node", F.col("parent").alias("ptr"), F.coalesce("parent", "node").alias("root"), F.when(F.col("self"), F.col("node")).alias("chosen")), "climb")
+    while not p.where("ptr is not null").isEmpty():
+        up = p.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("root").alias("root2"), F.col("chosen").alias("chosen2"))
+        nxt = s.put(p.join(up, "ptr", "left").select("node", F.col("ptr2").alias("ptr"), F.coalesce("root2", "root").alias("root"), F.coalesce("chosen2", "chosen").alias("chosen")), "climb")
+        s.drop(p)
+        p = nxt
+    return p.select("node", "root", "chosen")
+
+
+def flat_cut(s: Scratch, nodes: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(id, component): what the hierarchy's end leaves connected, whatever its size."""
+    at = _climb(s, nodes).select("node", "root").join(nodes.select(F.col("node").alias("root"), F.col("component").alias("top")), "root").select("node", "top")
+    return vertices.join(at, "node", "left").select("id", F.coalesce("component", "top").alias("component"))
 
 
 def groups_of_anchors(cells: DataFrame, anchors: DataFrame, dim: int, step: float, scratch: Scratch | None = None) -> DataFrame:
     """(cell_id, anchor_id): cells that can be reached from an anchor in steps of at most ``step``, once each.
 
-    Anchors take part as vertices of the graph; the flat cut of the hierarchy at ``step`` gives the groups.
+    Anchors take part as vertices of the graph; the flat cut of the condensed hierarchy at ``step`` gives the groups.
     Anchors without a valid vector have no group.
     """
     s = scratch or Scratch(cells.sparkSession, "density")
     both = cells.select(F.col("cell_id") * 2 + F.lit(0), "x_pca").toDF("id", "v").unionAll(anchors.select(F.col("anchor_id") * 2 + 1, "x_pca").toDF("id", "v"))
-    _, comp = spanning_forest(both, "id", "v", dim, step, scratch=s)
-    comp = s.put(comp, "components")
+    forest, _ = spanning_forest(both, "id", "v", dim, step, scratch=s)
+    comp = s.put(flat_cut(s, *hierarchy(s, forest, MIN_CLUSTER, step)), "groups")
     a = comp.where("id % 2 <> 0").select("component", F.expr("(id - 1) div 2").alias("anchor_id"))
     c = comp.where("id % 2 = 0").select("component", F.expr("id div 2").alias("cell_id"))
-    return c.join(a, "component").select("cell_id", "anchor_id")
+    return c.join(F.broadcast(a) if a.count() <= MOST_ANCHORS else a, "component").select("cell_id", "anchor_id")
 
 
-def condensed(s: Scratch, forest: DataFrame, min_cluster_size: int, n_levels: int = 12) -> tuple[DataFrame, DataFrame]:
+def condensed(s: Scratch, forest: DataFrame, min_cluster_size: int, end: float, most_edges: int = MOST_EDGES) -> tuple[DataFrame, DataFrame]:
     """Clusters of a spanning forest by stability: (cluster, size, stability) and (id, cluster, persistence).
 
-    The hierarchy is built from the smallest weights up, at n_levels weights that are quantiles of the forest's: at
-    each, components join along the edges up to it. Components of min_cluster_size and more are kept; one stays the same
-    node of the condensed tree while it only gains single points or small parts, and two of them that join make a new
-    node. A node's stability is the sum over its levels of size times the drop of density, 1 / weight. A node is
-    chosen if it is at least as stable as the chosen ones below it together. A member's persistence is the density at
-    which it comes into a kept component; members that never do, and components that stay small, have no cluster.
+    A node of the condensed hierarchy is chosen if it is at least as stable as the chosen ones below it together, and
+    nothing above it is. A member's persistence is the density at which it came into a component of
+    min_cluster_size; vertices that came into none, or into one above all chosen, have no cluster.
     """
-    spark = forest.sparkSession
-    e = s.put(forest.select(F.col("a").alias("u"), F.col("b").alias("v"), "w"), "levels-edges")
-    cuts = e.agg(F.percentile_approx("w", [(i + 1) / n_levels for i in range(n_levels)], 10_000).alias("t")).first()["t"]
-    if not cuts:
-        return spark.createDataFrame([], "cluster long, size long, stability double"), spark.createDataFrame([], "id long, cluster long, persistence double")
-    cuts = sorted(set(cuts))
-    eps = max(cuts[-1], 1e-12) / 1000
-    density = [1 / (t + eps) for t in cuts] + [0.0]
-    # vertex: id, its component, the node its component belongs to (null while small), the density at which it came in
-    v = s.put(e.select(F.col("u").alias("id")).union(e.select("v")).distinct().select("id", F.col("id").alias("c"), F.lit(None).cast("double").alias("persistence")), "vertices")
-    comp = s.put(v.select("c", F.lit(1).cast("long").alias("size"), F.lit(None).cast("long").alias("node")), "components")
-    lives, parents, ends = [], [], []
-    for level, t in enumerate(cuts):
-        now = e.where(F.col("w") <= t).select("u", "v")
-        root = s.put(communities.connected(s, now).toDF("c", "r"), "root")
-        e = s.put(e.where(F.col("w") > t).join(root.toDF("u", "ru"), "u", "left").join(root.toDF("v", "rv"), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"), "w"), "levels-edges")
-        up = comp.join(root, "c", "left").select(F.coalesce("r", "c").alias("c"), "size", "node")
-        g = up.groupBy("c").agg(F.sum("size").alias("size"), F.count("node").alias("n"), F.max("node").alias("node"))
-        own = F.col("c") * 64 + level  # a new node is named by its component and level
-        g = s.put(g.withColumn("new", F.when(F.col("size") >= min_cluster_size, F.when(F.col("n") == 1, F.col("node")).otherwise(own))), "components")
-        parents.append(s.put(up.where("node is not null").join(g.where("n > 1").select("c", F.col("new").alias("parent")), "c").select("node", "parent", F.lit(level).alias("level")), "parents"))
-        lives.append(s.put(g.where("new is not null").select(F.col("new").alias("node"), "size", F.lit(level).alias("level"), "c"), "lives"))
-        comp = g.select("c", "size", F.col("new").alias("node"))
-        v2 = v.join(root, "c", "left").select("id", F.coalesce("r", "c").alias("c"), "persistence").join(comp.where("node is not null").select("c", "node"), "c", "left")
-        nv = s.put(v2.select("id", "c", F.coalesce("persistence", F.when(F.col("node").isNotNull(), F.lit(density[level]))).alias("persistence"), "node"), "vertices")
-        ends.append(nv.select("id", "node", F.lit(level).alias("level")))
-        v = nv.select("id", "c", "persistence")
-    both = lambda xs: xs[0] if len(xs) == 1 else both([xs[0].unionByName(xs[1]), *xs[2:]])
-    life, parent = both(lives), s.put(both(parents), "tree")
-    drop = F.array(*[F.lit(density[i] - density[i + 1]) for i in range(len(cuts))])
-    node = s.put(life.groupBy("node").agg(F.sum(F.col("size") * F.get(drop, F.col("level"))).alias("own"), F.max(F.struct("level", "size"))["size"].alias("size"), F.max("level").alias("last"), F.min("level").alias("born")), "nodes")
-    # bottom up: the best sum of stabilities at or below each node, in order of birth
-    best = s.put(node.select("node", "born", "own", F.col("own").alias("best"), F.lit(True).alias("self")), "best")
-    for level in range(1, len(cuts)):
-        if best.where((F.col("born") == level)).isEmpty():
-            continue
-        below = parent.join(best.select("node", "best"), "node").groupBy(F.col("parent").alias("node")).agg(F.sum("best").alias("below"))
-        b = best.join(below, "node", "left").withColumn("now", (F.col("born") == level) & F.col("below").isNotNull())
-        best = s.put(b.select("node", "born", "own", F.when(F.col("now"), F.greatest("own", "below")).otherwise(F.col("best")).alias("best"), F.when(F.col("now"), F.col("own") >= F.col("below")).otherwise(F.col("self")).alias("self")), "best")
-    # top down: a node is chosen if it wins and nothing above it is chosen
-    state = s.put(best.select("node", "self").join(parent.select("node", "parent"), "node", "left").withColumn("chosen", F.when(F.col("parent").isNull(), F.col("self"))).withColumn("covered", F.when(F.col("parent").isNull(), F.col("self"))), "choice")
-    while not state.where("chosen is null").isEmpty():
-        p = state.select(F.col("node").alias("parent"), F.col("covered").alias("pc"))
-        j = state.join(p, "parent", "left")
-        state = s.put(j.select("node", "self", "parent", F.coalesce("chosen", F.when(F.col("pc").isNotNull(), ~F.col("pc") & F.col("self"))).alias("chosen"), F.coalesce("covered", F.when(F.col("pc").isNotNull(), F.col("pc") | F.col("self"))).alias("covered")), "choice")
-    chosen = s.put(state.where("chosen").select("node").join(node, "node").select("node", "last", "size", F.col("own").alias("stability")), "chosen")
-    m = both(ends).where("node is not null").join(chosen.select("node", F.col("last").alias("level")), ["node", "level"]).select("id", F.col("node").alias("cluster"))
-    members = m.join(v.select("id", "persistence"), "id").select("id", "cluster", "persistence")
-    return chosen.select(F.col("node").alias("cluster"), "size", "stability"), members
-
-
-def cluster(df: DataFrame, id_col: str, vec: str, dim: int, radius: float, min_samples: int = 5, min_cluster_size: int = 50, exemplars: int = 3, scratch: Scratch | None = None) -> DataFrame:
+    nodes, vertices = hierarchy(s, forest, min_cluster_size, end, most_edges)
+    top = s.put(_climb(s, nodes).where("chosen is not null").select("node", F.col("chosen").alias("cluster")), "chosen")
+    c = nodes.join(top.select(F.col("cluster").alias("node")).distinct(), "node").select(F.col("node").alias("cluster"), "size", F.col("own").alias("stability"))
+    return c, vertices.join(top, "node").select("id", "cluster", F.col("density").alias("persistence"))
+
+
+def cluster(df: DataFrame, id_col: str, vec: str, dim: int, radius: float, min_samples: int = 5, min_cluster_size: int = MIN_CLUSTER, exemplars: int = 3, scratch: Scratch | None = None) -> DataFrame:
     """(cluster, size, stability, exemplars): each cluster with its size and its most persistent members, smallest ids first."""
     s = scratch or Scratch(df.sparkSession, "density")
     forest, _ = spanning_forest(df, id_col, vec, dim, radius, min_samples, scratch=s)
-    c, members = condensed(s, s.put(forest, "forest"), min_cluster_size)
+    c, members = condensed(s, s.put(forest, "forest"), min_cluster_size, radius)
     w = W.partitionBy("cluster").orderBy(F.desc("persistence"), "id")
     top = members.withColumn("n", F.row_number().over(w)).where(F.col("n") <= exemplars).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("exemplars"))
     return c.join(top, "cluster")
