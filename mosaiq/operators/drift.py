@@ -5,8 +5,10 @@ Steps, all on the aggregated level (writer, file, field):
 1. payloads are read as variants and taken apart into fields, each value with its JSON type and comparable tokens;
 2. each (writer, field) gets a profile: a bottom-k sketch of its tokens; each field name one over all writers;
 3. a file's fields are compared with those of the writer's previous file: gone fields and new fields meet, each
-   meeting is weighed by values, types and names, and a bipartite matching keeps the renames;
-4. renames link stretches of a field into attributes, along which types are compared.
+   meeting is weighed by values, types and names, less the more often both names stand in one file, and a bipartite
+   matching keeps the renames;
+4. renames link stretches of a field into attributes, along which types are compared;
+5. for one table of all writers, their schemas are matched one after the other in the same way, by field name.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from mosaiq.operators.ordered import carry_last
 from mosaiq.session import Scratch
 
 SKETCH = 256  # tokens kept of a profile, those with the smallest hashes
-WEIGHTS = {"values": 0.6, "names": 0.4}
+WEIGHTS = {"values": 0.55, "names": 0.35, "types": 0.1}
 PRIOR = 8.0  # a writer's own values weigh as much as those of all writers at so many tokens
-LEAST_WEIGHT = 0.45  # a pair below is no rename
+LEAST_WEIGHT = 0.4  # a pair below is no rename
+MOST_NAMES = 5_000  # field names of one table, as names become columns; more raise an error
 
 
 def fields(records: DataFrame) -> DataFrame:
@@ -41,16 +44,24 @@ def fields(records: DataFrame) -> DataFrame:
     return e.select("writer", "file_seq", "file_id", "record_id", "key", "value", kind.alias("kind"))
 
 
-def tokens(value: Column) -> Column:
-    """Comparable tokens of a variant as an array of strings, whatever its type.
+def tokens(value: Column, kind: Column) -> Column:
+    """Comparable tokens of a variant of the given kind as an array of strings.
 
     Arrays and objects give the scalars within them. Numbers, also as text and with p for the decimal point, are
     taken to three decimals, so that 3.162278, "3.162" and "3p162" are the same; other text is lower-cased.
     """
+    three = lambda x: F.round(x, 3).cast("string")
+    looks = r"^[+-]?\d+(p\d+)?$|^[+-]?\d*\.?\d+(e[+-]?\d+)?$"
+    text = lambda x: F.when(x.rlike(looks), three(F.replace(x, F.lit("p"), F.lit(".")).try_cast("double"))).otherwise(x)
     leaves = F.transform(F.regexp_extract_all(F.to_json(value), F.lit(r'("(?:[^"\\]|\\.)*"\s*:)|("(?:[^"\\]|\\.)*"|[^\s\[\]{},:"]+)'), F.lit(2)), lambda x: F.lower(F.regexp_replace(x, '^"|"$', "")))
-    leaves = F.filter(leaves, lambda x: ~x.isin("", "null"))
-    number = lambda x: F.when(x.rlike(r"^[+-]?\d+(p\d+)?$|^[+-]?\d*\.?\d+(e[+-]?\d+)?$"), F.replace(x, F.lit("p"), F.lit("."))).try_cast("double")
-    return F.transform(leaves, lambda x: F.when(number(x).isNotNull(), F.format_string("%.3f", number(x))).otherwise(x))
+    nested = F.transform(F.filter(leaves, lambda x: ~x.isin("", "null")), text)
+    one = lambda x: F.when(x.isNotNull() & (x != ""), F.array(x)).otherwise(F.array().cast("array<string>"))
+    return (
+        F.when(kind == "number", one(three(F.try_variant_get(value, "$", "double"))))
+        .when(kind == "string", one(text(F.lower(F.try_variant_get(value, "$", "string")))))
+        .when(kind.isNull(), F.array().cast("array<string>"))
+        .otherwise(nested)
+    )
 
 
 def _sketches(toks: DataFrame, by: list[str]) -> DataFrame:
@@ -87,6 +98,23 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.greatest(edit, (hits(pa, pb) + hits(pb, pa)) / F.greatest(F.size(pa) + F.size(pb), F.lit(1)))
 
 
+def type_similarity(a: Column, b: Column) -> Column:
+    """1 for the same JSON type, 0.5 for a number and text, which may hold one, 0 for others; 0.5 where a type isn't known."""
+    scalar = a.isin("number", "string") & b.isin("number", "string")
+    return F.when(a == b, 1.0).when(a.isNull() | b.isNull() | scalar, 0.5).otherwise(0.0)
+
+
+def together(present: DataFrame) -> DataFrame:
+    """(f, g, share): how often two field names stand in one file, against the files of the rarer; pairs that never do aren't listed.
+
+    Counted over the distinct schemas of files, with how many files have each.
+    """
+    schemas = present.groupBy("writer", "file_seq", "file_id").agg(F.array_sort(F.collect_set("field")).alias("names")).groupBy("names").agg(F.count("*").alias("n"))
+    one = schemas.select(F.explode("names").alias("f"), "n").groupBy("f").agg(F.sum("n").alias("n_f"))
+    two = schemas.select(F.explode("names").alias("f"), "names", "n").select("f", F.explode("names").alias("g"), "n").where("f <> g").groupBy("f", "g").agg(F.sum("n").alias("n"))
+    return two.join(one, "f").join(one.toDF("g", "n_g"), "g").select("f", "g", (F.col("n") / F.least("n_f", "n_g")).alias("share"))
+
+
 def best_matching(weight: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of the bipartite matching with the largest total weight (Hungarian method, potentials)."""
     flip = weight.shape[0] > weight.shape[1]
@@ -138,7 +166,7 @@ def schema_drift(records: DataFrame, scratch: Scratch | None = None) -> dict[str
     """
     spark = records.sparkSession
     s = scratch or Scratch(spark, "drift")
-    raw = s.put(fields(records).select("writer", "file_seq", "file_id", "key", "kind", F.transform(tokens(F.col("value")), lambda t: F.xxhash64(t)).alias("h")), "fields")
+    raw = s.put(fields(records).select("writer", "file_seq", "file_id", "key", "kind", F.transform(tokens(F.col("value"), F.col("kind")), lambda t: F.xxhash64(t)).alias("h")), "fields")
     by_kind = raw.groupBy("writer", "file_seq", "file_id", F.col("key").alias("field"), "kind").agg(F.count("*").alias("n"))
     best = F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "kind")))
     per_file = s.put(by_kind.groupBy("writer", "file_seq", "file_id", "field").agg(best["kind"].alias("kind")), "profile")
@@ -155,15 +183,21 @@ def schema_drift(records: DataFrame, scratch: Scratch | None = None) -> dict[str
     # profiles of the fields that came or went
     toks = raw.select("writer", F.col("key").alias("field"), F.explode("h").alias("h")).distinct()
     own, everywhere = _sketches(toks, ["writer", "field"]), _sketches(toks, ["field"])
-    g = starts.where("not new and before is not null").select("writer", "file_seq", "file_id", F.col("field").alias("old_f"))
-    n = starts.where("new and before is not null").select("writer", "file_seq", "file_id", F.col("field").alias("new_f"))
+    kinds = per_file.select("writer", "field", "kind", F.struct("file_seq", "file_id").alias("at"))
+    g = starts.where("not new and before is not null").select("writer", "file_seq", "file_id", F.col("field").alias("old_f"), "before")
+    g = g.join(kinds.toDF("writer", "old_f", "old_kind", "before"), ["writer", "old_f", "before"]).drop("before")
+    n = starts.where("new and before is not null").select("writer", "file_seq", "file_id", F.col("field").alias("new_f"), F.struct("file_seq", "file_id").alias("at"))
+    n = n.join(kinds.toDF("writer", "new_f", "new_kind", "at"), ["writer", "new_f", "at"]).drop("at")
     pairs = g.join(n, ["writer", "file_seq", "file_id"])
     for side in ("old", "new"):
         pairs = pairs.join(own.toDF("writer", f"{side}_f", f"{side}_own"), ["writer", f"{side}_f"], "left").join(everywhere.toDF(f"{side}_f", f"{side}_all"), f"{side}_f", "left")
     few = F.coalesce(F.least(F.size("old_own"), F.size("new_own")), F.lit(0))  # few own values say little: the names' other writers fill in
     n_own = F.greatest(few, F.lit(0))
     values = (n_own * F.coalesce(containment(F.col("old_own"), F.col("new_own")), F.lit(0.0)) + PRIOR * F.coalesce(ochiai(F.col("old_all"), F.col("new_all")), F.lit(0.0))) / (n_own + PRIOR)
-    weight = WEIGHTS["values"] * values + WEIGHTS["names"] * name_similarity(F.col("old_f"), F.col("new_f"))
+    weight = WEIGHTS["values"] * values + WEIGHTS["names"] * name_similarity(F.col("old_f"), F.col("new_f")) + WEIGHTS["types"] * type_similarity(F.col("old_kind"), F.col("new_kind"))
+    both_in = s.put(together(present), "together")
+    pairs = pairs.join(both_in.toDF("old_f", "new_f", "share"), ["old_f", "new_f"], "left")
+    weight = weight * (1.0 - F.coalesce("share", F.lit(0.0)))
     pairs = pairs.select("writer", "file_seq", "file_id", "old_f", "new_f", weight.alias("weight"))
     met = pairs.groupBy("writer", "file_seq", "file_id").agg(F.collect_list("old_f").alias("g"), F.collect_list("new_f").alias("n"), F.collect_list("weight").alias("w"))
     renamed = s.put(met.select("writer", "file_seq", "file_id", F.explode(_renames("g", "n", "w")).alias("r")).select("writer", "file_seq", "file_id", "r.old", "r.new"), "renamed")
@@ -199,15 +233,98 @@ def schema_drift(records: DataFrame, scratch: Scratch | None = None) -> dict[str
         .unionByName(drift(renamed, "old", "renamed", F.col("new")))
         .unionByName(drift(typed.where("kind <> kind_before"), "field", "retyped"))
     )
-    return {"changes": changes, "attributes": typed.select("writer", "file_seq", "file_id", "field", F.col("root.field").alias("attribute"), "root", "kind"), "renamed": renamed, "pairs": pairs}
+    return {"changes": changes, "attributes": typed.select("writer", "file_seq", "file_id", "field", F.col("root.field").alias("attribute"), "root", "kind"), "renamed": renamed, "pairs": pairs, "profile": per_file, "sketches": everywhere, "together": both_in}
+
+
+def attribute_names(found: dict[str, DataFrame]) -> dict[str, tuple[str, dict[str, int]]]:
+    """The attributes of all writers, from what schema_drift returns: canonical name -> (type, field names with their files).
+
+    Schemas are matched one after the other, the most frequent first: a bipartite matching of a schema's unknown names
+    with the attributes so far, weighed as renames are, by values, names and types over all writers; names that stand
+    together in files are different attributes, and one that no attribute takes begins its own. The type is that of
+    most values' fields: double, boolean or string, where arrays and objects are JSON text. An attribute is called by
+    its most frequent name. Only names and their profiles come to the driver, at most MOST_NAMES of them.
+    """
+    p = found["profile"].where("field is not null")
+    names = p.groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "number").alias("number"), F.count_if(F.col("kind") == "boolean").alias("boolean"), F.count_if(F.col("kind") == "string").alias("string"), F.count("kind").alias("known"))
+    kinds = {r["field"]: r for r in names.orderBy(F.desc("n"), "field").limit(MOST_NAMES + 1).collect()}
+    if len(kinds) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} field names")
+    of = names.select("field", F.when(F.col("known") > 0, F.array_max(F.array(*[F.struct(F.col(k).alias("n"), F.lit(k).alias("k")) for k in ("number", "boolean", "string")]))["k"]).alias("kind")).join(found["sketches"], "field", "left")
+    a, b = of.toDF("f", "fk", "fs"), of.toDF("g", "gk", "gs")
+    values = F.coalesce(ochiai(F.col("fs"), F.col("gs")), F.lit(0.0))
+    weight = WEIGHTS["values"] * values + WEIGHTS["names"] * name_similarity(F.col("f"), F.col("g")) + WEIGHTS["types"] * type_similarity(F.col("fk"), F.col("gk"))
+    share = found["together"]
+    near = a.join(b, F.col("f") < F.col("g")).join(share, ["f", "g"], "left").select("f", "g", weight.alias("w"), F.coalesce("share", F.lit(0.0)).alias("share"))
+    near = {frozenset((r["f"], r["g"])): (r["w"] * (1 - r["share"]), r["share"]) for r in near.where((F.col("w") >= LEAST_WEIGHT) | (F.col("share") > 0)).collect()}
+    # of the schemas, for each name the most frequent one that has it
+    files = p.groupBy("writer", "file_seq", "file_id").agg(F.array_sort(F.collect_set("field")).alias("names")).groupBy("names").agg(F.count("*").alias("n"))
+    schemas = files.select(F.explode("names").alias("field"), "names", "n").groupBy("field").agg(F.max(F.struct("n", "names")).alias("s")).select("s.*").distinct().collect()
+    attributes: list[list[str]] = []
+    placed: set[str] = set()
+    for s in sorted(schemas, key=lambda r: (-r["n"], r["names"])):
+        unknown = [x for x in s["names"] if x not in placed]
+        m = np.zeros((len(unknown), len(attributes)))
+        for i, x in enumerate(unknown):
+            for j, known in enumerate(attributes):
+                got = [near.get(frozenset((x, y)), (0.0, 0.0)) for y in known]
+                w = max(g[0] for g in got)
+                m[i, j] = w if w >= LEAST_WEIGHT and max(g[1] for g in got) < MOST_TOGETHER else 0
+        pairs = {i: j for i, j in best_matching(m) if m[i, j] > 0} if m.size else {}
+        for i, x in enumerate(unknown):
+            if i in pairs:
+                attributes[pairs[i]].append(x)
+            else:
+                attributes.append([x])
+            placed.add(x)
+    out, taken = {}, {"record_id", "writer", "file_id", "other"}
+    for names_ in sorted(attributes, key=lambda x: max(kinds[y]["n"] for y in x), reverse=True):
+        names_ = sorted(names_, key=lambda y: (-kinds[y]["n"], y))
+        best = max(("number", "boolean", "string"), key=lambda k: (sum(kinds[y][k] for y in names_), k))
+        known = sum(kinds[y]["known"] for y in names_)
+        kind = best if known and sum(kinds[y][best] for y in names_) * 2 >= known else "string"
+        name = names_[0]
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out[name] = ({"number": "double"}.get(kind, kind), {y: kinds[y]["n"] for y in names_})
+    return out
+
+
+MOST_TOGETHER = 0.05  # names that stand together in more of the rarer one's files are different attributes
 
 
 def unified(records: DataFrame) -> DataFrame:
-    """All readable records as one table, a row per record and attribute, whatever the field was called.
+    """All readable records of all writers as one table: a row per record, a typed column per attribute.
 
-    Columns: record_id, writer, file_id, attribute (the name under which the attribute began), field (its name in
-    this record), value (JSON text, null for a JSON null).
+    Columns: record_id, writer, file_id, one for each of attribute_names, and ``other``, a map from field name to JSON
+    text of what fits no column: values that aren't of their attribute's type, or second fields of an attribute. Numbers
+    given as text, also with p for the point, count as numbers. The columns are a projection of the payload.
     """
-    attrs = schema_drift(records)["attributes"].select("writer", "file_seq", "file_id", "field", "attribute")
-    f = fields(records).select("record_id", "writer", "file_seq", "file_id", F.col("key").alias("field"), F.when(F.col("kind").isNotNull(), F.to_json("value")).alias("value"))
-    return f.join(attrs, ["writer", "file_seq", "file_id", "field"]).select("record_id", "writer", "file_id", "attribute", "field", "value")
+    attributes = attribute_names(schema_drift(records))
+    r = records.select("record_id", "writer", "file_seq", "file_id", "payload").where("payload is not null and writer is not null and file_seq is not null and file_id is not null").dropDuplicates(["record_id"])
+    r = r.withColumn("v", F.try_parse_json("payload")).where("v is not null and schema_of_variant(v) like 'OBJECT%'")
+
+    parsed = F.from_json("payload", "map<string,string>")
+
+    def get(name: str, kind: str) -> Column:
+        quote = next((q for q in "'\"" if q not in name), None)
+        if quote is None:  # a name with both quotes can't be in a path
+            text = F.element_at(parsed, name)
+            return text.try_cast(kind) if kind != "string" else text
+        path = f"$[{quote}{name}{quote}]"
+        text = F.try_variant_get("v", path, "string")
+        if kind == "double":
+            return F.coalesce(F.try_variant_get("v", path, "double"), F.when(text.rlike(r"^\s*[+-]?\d+p\d+\s*$"), F.replace(text, F.lit("p"), F.lit("."))).try_cast("double"))
+        return F.try_variant_get("v", path, "boolean") if kind == "boolean" else text
+
+    cols, used = [], []
+    for name, (kind, names) in attributes.items():
+        cols.append(F.coalesce(*[get(x, kind) for x in names]).alias(name))
+        first = F.lit(False)
+        for x in names:  # which field filled the column
+            got = get(x, kind).isNotNull()
+            used.append(F.when(got & ~first, F.lit(x)))
+            first = first | got
+    rest = F.map_filter(parsed, lambda k, v: v.isNotNull() & ~F.coalesce(F.array_contains("used", k), F.lit(False)))
+    return r.select("record_id", "writer", "file_id", "payload", *cols, F.array_compact(F.array(*used) if used else F.array().cast("array<string>")).alias("used")).withColumn("other", rest).drop("payload", "used")

@@ -38,8 +38,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_unified(spark: SparkSession, d: str) -> DataFrame:
-    """All readable records as one table of attributes: (record_id, attribute, kind, value)."""
-    return drift.unified(table(spark, d, "meta_records"))
+    """All readable records as one table: a row per record, a typed column per attribute, and what fits none."""
+    return drift.unified(table(spark, d, "meta_records")).withColumn("other", F.to_json("other"))
 
 
 def _positions(spark: SparkSession, d: str) -> DataFrame:

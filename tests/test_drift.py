@@ -51,9 +51,33 @@ def test_empty_and_unreadable(spark):
 
 
 def test_unified(spark):
-    files = {("a", 1): [{"section": f"KV-{i}.01"} for i in range(5)], ("a", 2): [{"section_name": f"KV-{i}.01"} for i in range(5)]}
-    got = drift.unified(records(spark, files)).collect()
-    assert len(got) == 10 and {r["attribute"] for r in got} == {"section"}
+    """Two writers that begin with different names and types end in one typed column each."""
+    s = [f"KV-{i}.01" for i in range(6)]
+    files = {
+        ("a", 1): [{"section": x, "resolution": i / 4, "on": True} for i, x in enumerate(s)],
+        ("a", 2): [{"section_name": x, "resolution": f"{i}p250"} for i, x in enumerate(s)],
+        ("b", 1): [{"section_name": x, "Resolution": i / 4, "Writer": [1, 2]} for i, x in enumerate(s)] + [{"Resolution": "high", "it's": {"a": 1}}, None, "[]"],
+    }
+    u = drift.unified(records(spark, files))
+    assert dict(u.dtypes) == {"record_id": "bigint", "writer": "string", "file_id": "bigint", "section_name": "string", "resolution": "double", "on": "boolean", "Writer_": "string", "it's": "string", "other": "map<string,string>"}
+    got = {r["record_id"]: r for r in u.collect()}
+    assert len(got) == 19
+    assert [got[i]["section_name"] for i in range(18)] == s * 3
+    assert [got[i]["resolution"] for i in range(18)] == [i / 4 for i in range(6)] + [i + 0.25 for i in range(6)] + [i / 4 for i in range(6)]
+    assert got[18]["resolution"] is None and got[18]["other"] == {"Resolution": "high"} and got[18]["it's"] == '{"a":1}'
+    assert got[12]["Writer_"] == "[1,2]" and got[0]["on"] and got[0]["other"] == {}
+    assert drift.unified(records(spark, {("a", 1): ["{}"]})).columns == ["record_id", "writer", "file_id", "other"]
+
+
+def test_types_tell_fields_apart(spark):
+    """Equal values under names alike: the field of the same type goes on."""
+    files = {("a", 1): [{"size_a": i} for i in range(4)], ("a", 2): [{"size_b": str(i), "size_c": i} for i in range(4)]}
+    assert changes(spark, files) == {("a", 2, "size_a", "renamed", "size_c"), ("a", 2, "size_b", "added", None)}
+
+
+def test_names_that_stand_together_are_no_renames(spark):
+    files = {("a", 1): [{"env_k": 20}], ("a", 2): [{"clust_k": 20}]} | {("b", i): [{"env_k": 20, "clust_k": 20}] for i in range(5)}
+    assert changes(spark, files) == {("a", 2, "env_k", "removed", None), ("a", 2, "clust_k", "added", None)}
 
 
 def test_matching_is_optimal():
