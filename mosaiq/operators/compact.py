@@ -120,7 +120,7 @@ def kept_files(spark: SparkSession, files: DataFrame, target_bytes: int = 128 <<
     The kept file is that whose file_id is the record_id. Of repeated rows of it the latest modified counts.
     """
     rows = Scratch(spark, "kept").put(files, "files")
-    r = score_records(rows)
+    r = Scratch(spark, "kept").put(score_records(rows), "records")
     keep = record_classes(r).where("file_id = record_id").select("file_id").distinct()
     order = [F.desc("modified_at")] if "modified_at" in files.columns else []
     w = W.partitionBy("file_id").orderBy(*order, "file_path", "file_text")

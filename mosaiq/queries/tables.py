@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.operators import compact, drift, spatial
-from mosaiq.session import table
+from mosaiq.session import Scratch, table
 
 NEAR_UM = 4.6
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     files = compact.compact_score_files(spark, table(spark, d, "score_files"))
-    return compact.same_record_pairs(compact.score_records(files))
+    return compact.same_record_pairs(Scratch(spark, "records").put(compact.score_records(files), "parsed"))
 
 
 def p1_records(spark: SparkSession, d: str) -> DataFrame:
     """Each readable file with its record, and whether it is the file that is kept for the record."""
     files = compact.compact_score_files(spark, table(spark, d, "score_files"))
-    r = compact.record_classes(compact.score_records(files))
+    r = compact.record_classes(Scratch(spark, "records").put(compact.score_records(files), "parsed"))
     return r.withColumn("kept", F.col("file_id") == F.col("record_id"))
 
 
