@@ -12,8 +12,6 @@ from __future__ import annotations
 
 import html
 import re
-import sys
-import types
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -297,12 +295,16 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", names: frozens
     return clean_sample([(r["language"], r["text"]) for r in got], names)
 
 
-def _worker_model(key: int, corpora: dict[str, str], names: frozenset[str]) -> Model:
-    """The model of this Python worker, built once and kept for its later tasks."""
-    kept = sys.modules.setdefault("_mosaiq_worker", types.ModuleType("_mosaiq_worker"))
-    if getattr(kept, "key", None) != key:
-        kept.key, kept.model = key, Model(corpora, names)
-    return kept.model
+DOCS_A_TASK = 5_000  # on average
+_MODELS: dict[int, Model] = {}  # of a Python worker: the model that its tasks use
+
+
+def _worker_model(key: int, parts) -> Model:
+    """The model of this Python worker, built once from a broadcast sample and kept for its later tasks."""
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = Model(*parts.value)
+    return _MODELS[key]
 
 
 PASSAGES = "id long, label string, passage int, lang string, n_words int, confidence double"
@@ -316,9 +318,10 @@ def passages(docs: DataFrame, corpora: dict[str, str], names: frozenset[str] = f
     Documents are dealt evenly over tasks; texts are read whole.
     """
     key = hash((tuple(sorted(corpora.items())), names))
+    parts = docs.sparkSession.sparkContext.broadcast((corpora, names))  # at most CORPUS_CHARS a language, and the names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _worker_model(key, corpora, names)
+        model = _worker_model(key, parts)
         for b in batches:
             rows = []
             for i, t, lab in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -330,7 +333,7 @@ def passages(docs: DataFrame, corpora: dict[str, str], names: frozenset[str] = f
                 yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types_)], ["id", "label", "passage", "lang", "n_words", "confidence"])
 
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("lab")).where("id is not null and text is not null")
-    n = tasks or 4 * docs.sparkSession.sparkContext.defaultParallelism
+    n = tasks or max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-d.count() // DOCS_A_TASK))
     return d.repartition(n, F.xxhash64("id", F.length("text"))).mapInArrow(run, PASSAGES)
 
 
