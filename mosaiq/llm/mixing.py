@@ -70,9 +70,14 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str, source: str, size: str
                 plan.append((r["key"], low, high, max(1, -(-r["source_size"] // block)), r["max_repeats"]))
             low = high
         plan[-1] = (plan[-1][0], plan[-1][1], 2.0, *plan[-1][3:])
-        p = F.broadcast(spark.createDataFrame(plan, "key string, low double, high double, n_blocks long, max_repeats long"))
+        # [0, 1) in equal strips: each strip with the few sources that it touches, so that a slot meets its source by equality
+        strips = 4 * len(plan)
+        p = spark.createDataFrame(plan, "key string, low double, high double, n_blocks long, max_repeats long")
+        first, last = F.floor(F.col("low") * strips), F.floor(F.least(F.col("high"), F.lit(1.0)) * strips)
+        p = F.broadcast(p.withColumn("strip", F.explode(F.sequence(first, last))))  # at most 6 rows a source
         u = F.pmod(F.col("id") * F.lit(GOLDEN) + F.lit((seed % 97) / 97.0), F.lit(1.0))
-        slots = spark.range(n_slots).withColumn("u", u).join(p, (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+        slots = spark.range(n_slots).withColumn("u", u).withColumn("strip", F.floor(F.col("u") * strips))
+        slots = slots.join(p, "strip").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
         slots = slots.select("key", F.col("id").alias("slot"), F.floor(F.col("id") / CHUNK_ROWS).alias("chunk"), "n_blocks", "max_repeats")
         slots = chunked_sum(slots, "key", "chunk", ["slot"], F.lit(1), "rank")
         slots = slots.select("key", "slot", F.floor(F.col("rank") / F.col("n_blocks")).alias("pass"), (F.col("rank") % F.col("n_blocks")).alias("block"), "max_repeats")
