@@ -21,6 +21,7 @@ from mosaiq.session import Scratch
 
 ITEM, GAP, MATCH = 0, 1, 2
 BUNDLE_SHARE = 8  # small items are first bundled up to this part of the capacity
+PART_ROWS = 50_000  # items and gaps of a sorted part, on average
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +97,8 @@ def pack(items: DataFrame, id_col: str, size: str, capacity: int, scratch: Scrat
     # small items travel in bundles, so that rounds stay few
     most = max(1, capacity // BUNDLE_SHARE)
     real = last.where("size > 0").select(F.col("id").cast("string").alias("item"), "size")
-    small = real.where(F.col("size") <= most).repartitionByRange(F.col("size")).sortWithinPartitions("size").mapInArrow(_bundle(most), "item string, size long, bundle string")
+    parts = lambda n: max(1, -(-n // PART_ROWS))
+    small = real.where(F.col("size") <= most).repartitionByRange(parts(last.count()), F.col("size"), F.col("item")).sortWithinPartitions("size").mapInArrow(_bundle(most), "item string, size long, bundle string")
     bundles = s.put(small.unionByName(real.where(F.col("size") > most).withColumn("bundle", F.col("item"))), "bundles")
     start = bundles.groupBy("bundle").agg(F.sum("size").alias("size"))
     state = s.put(start.select(F.lit(ITEM).alias("kind"), "size", F.col("bundle").alias("item"), F.lit(None).cast("long").alias("bin")), "state")
@@ -118,7 +120,8 @@ def pack(items: DataFrame, id_col: str, size: str, capacity: int, scratch: Scrat
             opened += need
             state = state.unionByName(new)
         state = state.where((F.col("kind") == ITEM) | (F.col("size") >= least))  # smaller gaps are done
-        sort = state.repartitionByRange(F.col("size"), F.col("kind"), F.col("item"), F.col("bin")).withColumn("_pid", F.spark_partition_id())
+        rows = left[ITEM][0] + sum(left[k][0] for k in (GAP, MATCH) if k in left) + max(need, 0)
+        sort = state.repartitionByRange(parts(rows), F.col("size"), F.col("kind"), F.col("item"), F.col("bin")).withColumn("_pid", F.spark_partition_id())
         swept = s.put(sort.mapInArrow(_sweep, SWEPT), "swept")
         per = swept.where(f"kind <> {MATCH}").groupBy("_pid").agg(F.count_if(F.col("kind") == GAP).alias("g"), F.count_if(F.col("kind") == ITEM).alias("i"))
         before = per.withColumn("base", F.coalesce(F.sum(F.col("i") - F.col("g")).over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # one row per part
