@@ -16,7 +16,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     cells = table(spark, d, "cell_expression")
     out = None
     for space, dim, radius in SPACES:
-        p = neighbours.near_pairs(cells, "cell_id", space, dim, radius)
+        p = neighbours.near_pairs(cells, "cell_id", space, dim, radius, trees=4)
         p = p.select(F.lit(space).alias("space"), F.col("id_1").alias("cell_id_1"), F.col("id_2").alias("cell_id_2"))
         out = p if out is None else out.unionByName(p)
     return out
