@@ -52,3 +52,8 @@ def running_sum(scratch: Scratch, df: DataFrame, keys: list[str], order: list[st
     local = b.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
     r = local.withColumnRenamed("_pid", "_p").join(F.broadcast(carry), (F.col("_p") == F.col("_pid")) & k.eqNullSafe(F.col("_key")), "left")
     return r.withColumn(out, F.col(out) + F.coalesce("_carry", F.lit(0))).select(*df.columns, out)
+
+
+def rank(scratch: Scratch, df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Add ``out``: the place of each row in its key, from 0. ``order`` must be unique."""
+    return running_sum(scratch, df.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", out).drop("_one")

@@ -9,6 +9,7 @@ from mosaiq.operators import neighborhood, neighbors, percolation, spatial
 from mosaiq.session import Scratch, table
 
 K = 10
+SCORE_K = 100
 THRESHOLD = 0.2
 
 
@@ -24,8 +25,15 @@ def _knn(spark: SparkSession, d: str, with_self: bool = False) -> tuple[DataFram
 
 
 def _edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Scratch]:
-    p, knn, s = _knn(spark, d)
-    return p, s.put(percolation.activation_edges(knn, p), "edges"), s
+    s = Scratch(spark, "spatial")
+    p = s.put(_typed(spark, d), "typed")
+    return p, s.put(percolation.activation_edges(p, K, scratch=s), "edges"), s
+
+
+def _zoned(e: DataFrame, s: Scratch) -> DataFrame:
+    """(section, variant, cell_id, zone) of edges with section and type."""
+    named = e.select("section", F.xxhash64("section").alias("sec"), F.lit(0).cast("byte").alias("variant"), F.xxhash64("type").alias("t"), "src", "dst")
+    return percolation.zone_labels(s, named).join(named.select("section", "sec").distinct(), "sec")
 
 
 def spatial_knn_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -68,26 +76,24 @@ def activation_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def component_entropy_at_p(spark: SparkSession, d: str) -> DataFrame:
     """Entropy of the components of edges up to one bond probability, per section."""
-    p, e, _ = _edges(spark, d)
-    z = percolation.zones(e.where(F.col("p") <= THRESHOLD))
+    p, e, s = _edges(spark, d)
+    z = _zoned(e.where(F.col("p") <= THRESHOLD), s)
     size = z.groupBy("section", "zone").agg(F.count("*").alias("s")).groupBy("section").agg(F.sum(F.col("s") * F.log2("s")).alias("t"))
     n = p.groupBy("section").agg(F.count("*").alias("n"))
     return n.join(size, "section", "left").select("section", "n", F.round(F.log2("n") - F.coalesce("t", F.lit(0.0)) / F.col("n"), 6).alias("entropy"))
 
 
 def entropy_curve(spark: SparkSession, d: str) -> DataFrame:
-    p, e, _ = _edges(spark, d)
-    return percolation.entropy_curve(e, p)
+    return percolation.entropy_curve(_typed(spark, d), K).withColumn("entropy", F.round("entropy", 6))
 
 
 def type_entropy_curves(spark: SparkSession, d: str) -> DataFrame:
-    p, e, _ = _edges(spark, d)
-    return percolation.type_entropy_curves(e, p)
+    return percolation.type_entropy_curves(_typed(spark, d), K).withColumn("entropy", F.round("entropy", 6))
 
 
 def _zone_table(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p, e, s = _edges(spark, d)
-    return p, s.put(percolation.zone_table(p.drop("type"), p.select("section", "cell_id", "type"), percolation.zones(e)), "zones")
+    return p, s.put(percolation.zone_table(p, _zoned(e, s)), "zones")
 
 
 def zones_centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -97,12 +103,13 @@ def zones_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 def macro_edges(spark: SparkSession, d: str) -> DataFrame:
     p, z = _zone_table(spark, d)
-    return percolation.macro_edges(z, neighborhood.type_fractions(p)).withColumn("p", F.round("p", 6))
+    return percolation.macro_edges(z, neighborhood.type_fractions(p)).drop("variant").withColumn("p", F.round("p", 6))
 
 
 def percolation_score(spark: SparkSession, d: str) -> DataFrame:
     """Raw and normalized score per section: local and macroscopic edges, against permuted types."""
-    return percolation.score_sections(_typed(spark, d), K)
+    r = percolation.score_sections(_typed(spark, d), SCORE_K)
+    return r.select("section", "n", F.round("raw", 6).alias("raw"), F.round("normalized", 6).alias("normalized"))
 
 
 def stuck_users(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +182,7 @@ SQL = {
               order by (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.zone rows unbounded preceding) k
               from z a join many m on m.section = a.section and m."type" = a."type" join z b on b.section = a.section and b.zone <> a.zone),
         e as (select section, ta, least(za, zb) src, greatest(za, zb) dst, min(k) k from j where ta = tb group by all)
-        select e.section, ta "type", src, dst, round(1.0 - exp(-greatest(k, 1) * fraction), 6) p from e join frac f on f.section = e.section and f."type" = ta""",
+        select e.section, ta "type", src, dst, round(1.0 - exp(-greatest(k, 1) * fraction), 6) p from e join frac f on f.section = e.section and f."type" = ta where 1.0 - exp(-greatest(k, 1) * fraction) <= 0.99""",
     "stuck_users": """select user_id, ts last_seen, next_ts resumed from (select user_id, ts, lead(ts) over (partition by user_id order by ts, event_id) next_ts from events)
         where next_ts - ts > interval 12 hours""",
 }
