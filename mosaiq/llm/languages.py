@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import html
 import re
+import sys
+import types
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -296,15 +298,17 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", names: frozens
 
 
 DOCS_A_TASK = 5_000  # on average
-_MODELS: dict[int, Model] = {}  # of a Python worker: the model that its tasks use
 
 
 def _worker_model(key: int, parts) -> Model:
-    """The model of this Python worker, built once from a broadcast sample and kept for its later tasks."""
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(*parts.value)
-    return _MODELS[key]
+    """The model of this Python worker, built once from a broadcast sample and kept, with its cache, for later tasks.
+
+    Functions reach the workers by value, with globals of their own for each task, so it is kept as a module.
+    """
+    kept = sys.modules.setdefault("_mosaiq_worker", types.ModuleType("_mosaiq_worker"))
+    if getattr(kept, "key", None) != key:
+        kept.key, kept.model = key, Model(*parts.value)
+    return kept.model
 
 
 PASSAGES = "id long, label string, passage int, lang string, n_words int, confidence double"

@@ -16,7 +16,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     cells = table(spark, d, "cell_expression")
     out = None
     for space, dim, radius in SPACES:
-        p = neighbours.near_pairs(cells, "cell_id", space, dim, radius, trees=4)
+        p = neighbours.near_pairs(cells, "cell_id", space, dim, radius, trees=4, leaf=640)
         p = p.select(F.lit(space).alias("space"), F.col("id_1").alias("cell_id_1"), F.col("id_2").alias("cell_id_2"))
         out = p if out is None else out.unionByName(p)
     return out
@@ -103,7 +103,15 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p5_found, p5_nearest, p6_found, p6_containers, p7_found, p7_report, p7_drawn, p8_found, p8_passages)}
+_NEAR = """select '{space}' space, least(s, o) cell_id_1, greatest(s, o) cell_id_2 from (select s, o, row_number() over (partition by s order by d, o) k from (
+    select a.cell_id s, b.cell_id o, array_distance(a.x, b.x) d from {space}_v a join {space}_v b on a.cell_id <> b.cell_id and a.x[1] between b.x[1] - {r} and b.x[1] + {r} and array_distance(a.x, b.x) <= {r})) where k <= 5"""
+_VALID = "{space}_v as materialized (select cell_id, any_value({space})::double[{n}] x from cell_expression where cell_id is not null and len({space}) = {n} and len(list_filter({space}, lambda v: v is null or not isfinite(v))) = 0 group by cell_id)"
 SQL = {
+    "p3_found": f"""with recursive {_VALID.format(space="x_pca", n=15)},
+        r as (select v.cell_id, a.anchor_id from cluster_anchors a join x_pca_v v on array_distance(v.x, a.x_pca::double[15]) <= 1.0 where len(a.x_pca) = 15
+              union select w.cell_id, r.anchor_id from r join x_pca_v u on u.cell_id = r.cell_id join x_pca_v w on w.x[1] between u.x[1] - 1.0 and u.x[1] + 1.0 and array_distance(u.x, w.x) <= 1.0)
+        select cell_id, anchor_id from r""",
+    "p5_found": f"""with {", ".join(_VALID.format(space=s, n=n) for s, n, _ in SPACES)} {" union ".join(_NEAR.format(space=s, r=r) for s, _, r in SPACES)}""",
     "p6_found": "select doc_id from documents where coalesce(strlen(text), 0) > 2048",
     "p7_found": r"""
         with d as (select regexp_replace(lower(source), '[\s_-]+', '', 'g') k, sum(coalesce(strlen(text), 0)) size from documents group by 1),
