@@ -23,8 +23,20 @@ def resolution_dirname(r: Column) -> Column:
 
 
 def data_type_token(c: Column) -> Column:
-    """How a data type is written in folder names: scvi -> SCVI, pca15 -> PCA15, others capitalised."""
-    return F.when(F.lower(c) == "scvi", "SCVI").when(F.lower(c).startswith("pca"), F.upper(c)).otherwise(F.initcap(F.lower(c)))
+    """How a data type is written in folder names: scvi -> SCVI, pca15 -> PCA15, localfreq_w_k50 -> LocalfreqWK50, others capitalised."""
+    d = F.lower(c)
+    return F.when(d == "scvi", "SCVI").when(d.startswith("pca"), F.upper(c)).when(d.startswith("localfreq"), F.array_join(F.transform(F.split(d, "_"), lambda p: F.initcap(p)), "")).otherwise(F.initcap(d))
+
+
+def data_type_of_token(c: Column) -> Column:
+    """The inverse of data_type_token."""
+    return F.lower(F.when(c.startswith("Localfreq"), F.regexp_replace(c, "(?<=.)(?=[A-Z])", "_")).otherwise(c))
+
+
+def data_type_name(t: str) -> str:
+    """data_type_token of one name."""
+    t = t.lower()
+    return "SCVI" if t == "scvi" else t.upper() if t.startswith("pca") else "".join(p.capitalize() for p in (t.split("_") if t.startswith("localfreq") else [t]))
 
 
 def folder_name(method: Column, data_type: Column, distance: Column, env_k: Column, weighted: Column) -> Column:

@@ -16,7 +16,7 @@ DISTANCES = ("Correlation", "Euclidean", "Cosine")
 # The resolution grid, 10 to the powers -1 .. 2.5 in 50 steps.
 GRID = {"log_min": -1.0, "log_max": 2.5, "n": 50}
 
-_BASE = rf"({'|'.join(DATA_TYPES)})({'|'.join(DISTANCES)})?"
+_BASE = rf"({'|'.join(DATA_TYPES)}|LocalfreqW?(?:Pca\d+)?K\d+)({'|'.join(DISTANCES)})?"
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -63,6 +63,8 @@ def parse_parts(parts: Column) -> Column:
 
     Null if there are fewer than two parts. Unknown algorithms keep their folder name as method.
     """
+    from mosaiq.functions.grids import data_type_of_token
+
     algo, folders, name = F.get(parts, F.lit(0)), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), F.element_at(parts, -1)
     leiden, pheno = algo.startswith("Leiden"), algo.startswith("PhenoGraph")
     kmeans, lda = algo.rlike("^[Kk]means"), algo.startswith("LDA")
@@ -102,7 +104,7 @@ def parse_parts(parts: Column) -> Column:
         F.when(leiden, "leiden").when(pheno, "phenograph").when(kmeans, "kmeans").when(lda, "lda").when(pre, "preexisting").otherwise(F.lower(algo)).alias("method"),
         section_of(name).alias("section"),
         F.when(env | kmeans | lda, "env").otherwise("celltype").alias("feature_type"),
-        F.when(leiden | pheno, F.lower(_group(base, named, 1))).when(kmeans, F.coalesce(pca, F.lit("raw"))).when(lda, "raw").alias("data_type"),
+        F.when(leiden | pheno, data_type_of_token(_group(base, named, 1))).when(kmeans, F.coalesce(pca, F.lit("raw"))).when(lda, "raw").alias("data_type"),
         F.when(leiden | pheno, F.lower(_group(base, named, 2))).alias("distance"),
         env_k.alias("env_k"),
         (env & algo.contains("_w_")).alias("weighted"),

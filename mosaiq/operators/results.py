@@ -133,3 +133,15 @@ def chunks(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     s = Scratch(rows.sparkSession, "chunks")
     one = rows.withColumn("_one", F.lit(1)).withColumn("_all", F.lit(0))
     return running_sum(s, one, ["_all"], order, "_one", "_at").withColumn("chunk", (F.floor(F.col("_at") / size) + 1)).drop("_one", "_all", "_at")
+
+
+def in_order(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Add ``place`` (from 0) in the given order of columns, nulls last, without gathering the rows. The order must be unique."""
+    from mosaiq.operators.ordered import rank
+    from mosaiq.session import Scratch
+
+    keys = [f"_o{i}" for i in range(2 * len(order))]
+    d = rows
+    for i, c in enumerate(order):
+        d = d.withColumn(keys[2 * i], F.col(c).isNull()).withColumn(keys[2 * i + 1], F.col(c))
+    return rank(Scratch(rows.sparkSession, "order"), d.withColumn("_all", F.lit(0)), ["_all"], keys, "place").drop("_all", *keys)

@@ -122,8 +122,7 @@ def expected(spark: SparkSession, config: RunConfig, sections: DataFrame) -> Dat
             folders += [(f"{'Kmeans' if m.method == 'kmeans' else 'LDA'}_{dt}/k_{k}", True) for dt in m.data_types for k in m.k_values or grids.k_values()]
         else:
             head = "Leiden" if m.method == "leiden" else "PhenoGraph"
-            token = lambda t: "SCVI" if t == "scvi" else t.upper() if t.startswith("pca") else "".join(p.capitalize() for p in t.split("_"))
-            folders += [(f"{head}{token(dt)}{d.capitalize()}/res_{r:.3f}".replace(".", "p"), True) for dt in m.data_types for d in m.distances for r in grids.resolution_values(m.n_resolutions, m.log_min, m.log_max)]
+            folders += [(f"{head}{grids.data_type_name(dt)}{d.capitalize()}/res_{r:.3f}".replace(".", "p"), True) for dt in m.data_types for d in m.distances for r in grids.resolution_values(m.n_resolutions, m.log_min, m.log_max)]
     out = spark.createDataFrame(rows or [], "step string, rel_path string")
     f = spark.createDataFrame(folders or [], "folder string, clustered boolean").crossJoin(sections.select("section").distinct())
     path = lambda ext: F.concat("folder", F.lit("/"), "section", F.lit(ext))

@@ -197,10 +197,10 @@ def pending_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def completed_semi(spark: SparkSession, d: str) -> DataFrame:
-    """Configurations whose outputs exist for all sections that any labeling of theirs has."""
-    e = _existing(spark, d).distinct().select(F.regexp_extract("rel_path", r"^(.*)/[^/]*$", 1).alias("config"))
-    n = table(spark, d, "sections").agg(F.countDistinct("section").alias("n"))
-    return e.groupBy("config").agg(F.count("*").alias("have")).crossJoin(F.broadcast(n)).where("have * 2 >= n").select("config", "have")
+    """Configurations whose outputs exist for all sections that the run's outputs cover."""
+    e = _existing(spark, d).distinct().select(F.regexp_extract("rel_path", r"^(.*)/[^/]*$", 1).alias("config"), F.regexp_extract("rel_path", r"([^/]*)$", 1).alias("name"))
+    n = e.agg(F.countDistinct("name").alias("n"))
+    return e.groupBy("config").agg(F.countDistinct("name").alias("have")).crossJoin(F.broadcast(n)).where("have = n").select("config", "have")  # one row
 
 
 def chunk_assign(spark: SparkSession, d: str) -> DataFrame:
@@ -217,13 +217,63 @@ def calibration_sample(spark: SparkSession, d: str) -> DataFrame:
     return c.where("chunk <= 10").groupBy("chunk").agg(F.min("file_id").alias("file_id")).select("file_id")
 
 
+def _logs(spark: SparkSession, d: str) -> DataFrame:
+    """(id, text, modified, file_id, path) of logs as the workers that wrote the score files would leave them: one per file."""
+    f = table(spark, d, "score_files").where("file_id is not null").groupBy("file_id").agg(*[F.min(c).alias(c) for c in ("file_path", "file_text", "section", "n_bytes", "modified_at")])
+    at = lambda c: F.date_format(c, "EEE MMM d HH:mm:ss 'UTC' yyyy")
+    body = F.when(F.col("file_text").isNull(), F.concat(F.lit("  Skipping missing file: "), "file_path", F.lit("\n"))).when(paths.score_text(F.col("file_text")).isNull(), F.concat(F.lit("Traceback: "), "file_text", F.lit("\n"))).otherwise("")
+    end = F.when(F.col("section").isNotNull(), F.concat(F.lit("End time: "), at(F.col("modified_at") + F.make_dt_interval(secs=F.coalesce("n_bytes", F.lit(0)))), F.lit("\nDone SGE_TASK_ID "), F.col("file_id").cast("string"), F.lit("\n"))).otherwise("")
+    text = F.concat(F.lit("Processing chunk: chunk_0001_of_0001.txt\nStart time: "), at("modified_at"), F.lit("\nProcessing 2 percolation jobs from chunk\n"), body, end)
+    job = F.coalesce(F.nullif(F.regexp_extract("file_path", r"run_(\d+)", 1), F.lit("")), F.lit("0"))
+    return f.select(F.concat(F.lit("percolation."), job, F.lit("."), F.col("file_id").cast("string"), F.lit(".log")).alias("id"), text.alias("text"), F.col("modified_at").alias("modified"), "file_id", F.col("file_path").alias("path"), paths.score_text(F.col("file_text")).isNull().alias("lacks"))
+
+
 def log_classify(spark: SparkSession, d: str) -> DataFrame:
-    return logs.classify(table(spark, d, "score_files").select(F.col("file_id").alias("id"), F.col("file_text").alias("text")))
+    return logs.classify(_logs(spark, d)).select("id", "has_error", "has_warning", "abnormal_end", F.size("lines").alias("n_lines"), F.get("lines", F.lit(0)).alias("first_line"))
+
+
+def log_parse(spark: SparkSession, d: str) -> DataFrame:
+    return logs.parse(_logs(spark, d)).select("id", "job_id", "task_id", "n_tasks", "done", F.col("seconds").alias("seconds"))
 
 
 def log_durations(spark: SparkSession, d: str) -> DataFrame:
+    """Durations of the logs of each job."""
+    return _r(logs.durations(logs.parse(_logs(spark, d)), ["job_id"]), "mean_s", "least_s", "most_s", "per_task_s")
+
+
+def log_run_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The first 20 suspicious logs, with the outputs of their tasks that are missing."""
+    t = _logs(spark, d)
+    found = logs.classify(t).join(logs.parse(t).select("id", "task_id"), "id").withColumn("step", F.lit("percolation"))
+    jobs = t.where("path is not null").select(F.lit("percolation").alias("step"), F.col("file_id").alias("task_id"), F.concat("path", F.lit("\tout\tedges\t100")).alias("job_line"))
+    out = logs.job_outputs(jobs, table(spark, d, "sections"))
+    missing = t.where("lacks and path is not null").select(F.lit("percolation").alias("step"), F.col("path").alias("rel_path"))
+    return logs.run_errors(found, out, missing).select("id", "task_id", "n_missing", F.get("missing", F.lit(0)).alias("first_missing"), F.get("jobs", F.lit(0)).alias("first_job"))
+
+
+def file_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Times between successive score files of a section: number, mean, least and most seconds."""
-    return _r(logs.durations(table(spark, d, "score_files").where("section is not null"), "section", "modified_at", "file_id"), "mean_s", "least_s", "most_s")
+    return _r(logs.gaps(table(spark, d, "score_files").where("section is not null"), "section", "modified_at", "file_id"), "mean_s", "least_s", "most_s")
+
+
+def file_type_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Cells per label in each file of labels, of which there is one per configuration and section."""
+    n = results.distinct_labels(table(spark, d, "cluster_labels")).groupBy("config_id", "section", "label").agg(F.count("*").alias("n"))
+    return n.select(F.concat_ws("/", "config_id", F.concat("section", F.lit(".npy"))).alias("file_path"), "label", "n")
+
+
+def step_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Expected outputs per method, and the jobs they make if a job does all sections."""
+    e = expected_outputs(spark, d).withColumn("method", F.regexp_extract("rel_path", "^([A-Z][a-z]+)", 1))
+    n = table(spark, d, "sections").select("section").distinct().count()
+    return e.groupBy("method").agg(F.count("*").alias("outputs")).withColumn("jobs", F.floor(F.col("outputs") / max(n, 1)))
+
+
+def scores_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """The score table in its order: place, path and score by algorithm, env_k, clustering_k and section, nulls last."""
+    s = table(spark, d, "scores").select("algorithm", "env_k", "clustering_k", "section_name", "file_path", "percolation_score", "scored_at")
+    by = ["algorithm", "env_k", "clustering_k", "section_name", "file_path", "percolation_score", "scored_at"]
+    return results.in_order(s.groupBy(*by).agg(F.count("*").alias("n")), by).select("place", "file_path", "percolation_score", "n")
 
 
 def encode_annotations(spark: SparkSession, d: str) -> DataFrame:
@@ -290,13 +340,27 @@ _PARSED = r"""pn as (select file_id, regexp_replace(regexp_replace(file_path, '[
 _LEGACY = """select file_id, algorithm_string algorithm, case when "method" = 'preexisting' then 'Preexisting_' || annotation_level else upper("method"[1]) || "method"[2:] end "method",
   upper(data_type) data_type, upper(distance[1]) || distance[2:] distance, case when feature_type = 'env' then 'envenv' end env_type, weighted,
   nullif(env_k, 0)::varchar algorithm_k, nullif(env_k, 0)::varchar env_k, coalesce(nullif(clustering_k, 0), resolution_idx)::varchar clustering_k, resolution, section section_name from pm"""
+_CAP = "upper({0}[1]) || lower({0}[2:])"
+_TOKEN = f"case when lower(data_type) = 'scvi' then 'SCVI' when lower(data_type) like 'pca%' then upper(data_type) when lower(data_type) like 'localfreq%' then array_to_string(list_transform(string_split(lower(data_type), '_'), lambda p: upper(p[1]) || p[2:]), '') else {_CAP.format('data_type')} end"
+_FOLDER = f"""case lower("method") when 'leiden' then 'Leiden' || coalesce({_TOKEN}, '') || coalesce({_CAP.format('distance')}, '') || case when env_k is not null then '_envenv' || case when weighted then '_w' else '' end || '_k_' || env_k::bigint else '' end
+ when 'phenograph' then 'PhenoGraph' || coalesce({_TOKEN}, '') || coalesce({_CAP.format('distance')}, '')
+ when 'kmeans' then 'Kmeans' || case when data_type is not null and lower(data_type) <> 'raw' then '_' || lower(data_type) else '' end || case when env_k is not null then '_env_k_' || env_k::bigint else '' end
+ when 'lda' then 'LDA' else "method" end"""
+_BAD = logs.any_of(logs.ERRORS + logs.WARNINGS)
+_LOGS = r"""lf as (select file_id, min(file_path) file_path, min(file_text) file_text, min(section) section, min(n_bytes) n_bytes, min(modified_at) modified_at from score_files where file_id is not null group by file_id),
+ ln as (select file_id, string_split(trim(file_text, e' \t\r\n'), e'\t') f from lf),
+ lq as (select file_id, case when len(f) = 4 then trim(f[4]) when len(f) in (1, 2) then trim(f[1]) end a, case when len(f) = 2 then trim(f[2]) else '0' end b from ln),
+ lk as (select lf.*, not coalesce(regexp_full_match(a, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') and regexp_full_match(b, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?'), false) lacks, coalesce(nullif(regexp_extract(file_path, 'run_(\d+)', 1), ''), '0') job from lf join lq using (file_id)),
+ lg as (select *, 'percolation.' || job || '.' || file_id || '.log' id, e'Processing chunk: chunk_0001_of_0001.txt\nStart time: ' || strftime(modified_at, '%a %b %-d %H:%M:%S UTC %Y') || e'\nProcessing 2 percolation jobs from chunk\n'
+   || case when file_text is null then '  Skipping missing file: ' || file_path || e'\n' when lacks then 'Traceback: ' || file_text || e'\n' else '' end
+   || case when section is not null then e'End time: x\nDone SGE_TASK_ID ' || file_id || e'\n' else '' end as "text" from lk)"""
 _EXPECTED = r"""cf as (select distinct regexp_extract(file_path, '^run_\d+/(.*)/[^/]*$', 1) config from scores where file_path is not null),
  ex as (select 'percolation' step, config || '/' || section || '.score' rel_path from (select config from cf where config <> ''), (select distinct section from sections)),
  hv as (select distinct regexp_replace(file_path, '^run_\d+/', '') rel_path from scores where percolation_score is not null)"""
 
 QUERIES = {
     f.__name__: f
-    for f in (section_cell_counts, sections_distinct, reduce_scores_weighted, best_configuration, scores_summary, trapz_score, normalized_score, pooled_type_entropy, contingency_table, ari_all_pairs, ari_annotations, comparison_pairs, n_pairs, section_intersection, union_chunks, score_layout_parse, parse_path, resolved_resolution, build_path, legacy_metadata, aggregate_scores, resolution_dirname, resolution_grid, k_grid, folder_name, derived_name, wildcard_features, expected_outputs, progress_report, pending_jobs, completed_semi, chunk_assign, calibration_sample, log_classify, log_durations, encode_annotations, annotation_summary, subsample_sections)
+    for f in (section_cell_counts, sections_distinct, reduce_scores_weighted, best_configuration, scores_summary, trapz_score, normalized_score, pooled_type_entropy, contingency_table, ari_all_pairs, ari_annotations, comparison_pairs, n_pairs, section_intersection, union_chunks, score_layout_parse, parse_path, resolved_resolution, build_path, legacy_metadata, aggregate_scores, resolution_dirname, resolution_grid, k_grid, folder_name, derived_name, wildcard_features, expected_outputs, progress_report, pending_jobs, completed_semi, chunk_assign, calibration_sample, log_classify, log_parse, log_durations, log_run_errors, file_gaps, file_type_counts, step_summary, scores_sorted, encode_annotations, annotation_summary, subsample_sections)
 }
 
 SQL = {
@@ -327,17 +391,32 @@ SQL = {
     "resolution_dirname": "select distinct resolution, 'res_' || replace(printf('%.3f', resolution), '.', 'p') dirname from scores where resolution is not null",
     "resolution_grid": "with g as (select i id, round(pow(10, -1 + 3.5 * i / 49), 3) as v from range(50) t(i)), s as (select round(resolution, 3) as v, count(*) n from scores where resolution is not null group by 1) select id, v as value, n from g join s using (v)",
     "k_grid": "with g as (select distinct round_even(pow(10, 1 + i * 2.0 / 8), 0)::bigint k from range(9) t(i)), s as (select clustering_k::bigint k, count(*) n from scores where clustering_k is not null group by 1) select k, n from g join s using (k)",
+    "folder_name": f"with s as (select distinct method, data_type, distance, env_k, weighted from scores) select *, {_FOLDER} folder from s",
+    "build_path": f"""with {_PARSED} select file_id, concat_ws('/', case when "method" = 'preexisting' then 'Preexisting_' || annotation_level else {_FOLDER} end,
+        case when "method" = 'lda' then concat_ws('/', 'k_' || env_k, 'k_' || clustering_k) when "method" = 'kmeans' then 'k_' || clustering_k
+             when "method" in ('leiden', 'phenograph') then coalesce('res_' || replace(printf('%.3f', resolution), '.', 'p'), 'res_' || resolution_idx) end, section || '.npy') rel_path from pm""",
     "derived_name": """with s as (select distinct weighted, env_k::bigint k from scores where env_k is not null) select 'localfreq' || case when weighted then '_w' else '' end || '_k' || k source, n,
         'localfreq' || case when weighted then '_w' else '' end || '_pca' || n || '_k' || k derived from s, (select unnest([15, 50]) n)""",
     "wildcard_features": "select distinct algorithm from scores where algorithm glob 'Leiden*Co*' or algorithm glob 'Kmeans_pca??_env_k_*'",
     "expected_outputs": f"with {_EXPECTED} select * from ex",
     "progress_report": f"with {_EXPECTED} select step, count(*) expected, count(h.rel_path) completed, round(100.0 * count(h.rel_path) / count(*), 6) percent from ex left join hv h using (rel_path) group by step",
     "pending_jobs": f"with {_EXPECTED} select * from ex where rel_path not in (select rel_path from hv where rel_path is not null)",
-    "completed_semi": f"with {_EXPECTED}, c as (select regexp_extract(rel_path, '^(.*)/[^/]*$', 1) config, count(*) have from hv group by 1) select config, have from c where have * 2 >= (select count(distinct section) from sections)",
+    "completed_semi": f"with {_EXPECTED}, c as (select regexp_extract(rel_path, '^(.*)/[^/]*$', 1) config, regexp_extract(rel_path, '([^/]*)$', 1) name from hv where rel_path is not null) select config, count(distinct name) have from c group by 1 having count(distinct name) = (select count(distinct name) from c)",
     "chunk_assign": "select chunk, count(*) n, min(file_id) \"first\", max(file_id) \"last\" from (select file_id, (row_number() over (order by file_id) - 1) // 500 + 1 chunk from (select distinct file_id from score_files where file_id is not null)) group by chunk",
     "calibration_sample": "with f as (select file_id, row_number() over (order by file_id) - 1 r, greatest(1, count(*) over () // 10) n from (select distinct file_id from score_files where file_id is not null)) select file_id from f where r % n = 0 and r // n < 10",
-    "log_classify": logs.CLASSIFY_SQL,
-    "log_durations": """with g as (select section, epoch_us(modified_at - lag(modified_at) over (partition by section order by modified_at, file_id)) / 1e6 s from score_files where section is not null and modified_at is not null)
+    "log_classify": rf"""with {_LOGS}, n as (select *, list_filter(string_split(text, e'\n'), lambda x: regexp_matches(x, '{_BAD}')) hits from lg)
+        select id, regexp_matches(text, '{logs.any_of(logs.ERRORS)}') has_error, regexp_matches(text, '{logs.any_of(logs.WARNINGS)}') has_warning, not contains(text, 'Done SGE_TASK_ID') abnormal_end,
+        case when len(hits) > 0 then least(len(hits), 5) when not contains(text, 'Done SGE_TASK_ID') then 1 else 0 end::int n_lines,
+        case when len(hits) > 0 then trim(hits[1]) when not contains(text, 'Done SGE_TASK_ID') then 'Abnormal termination (last line): Processing 2 percolation jobs from chunk' end first_line from n""",
+    "log_parse": f"with {_LOGS} select id, job job_id, file_id task_id, 2::bigint n_tasks, section is not null done, case when section is not null then coalesce(n_bytes, 0)::double end as seconds from lg",
+    "log_durations": f"""with {_LOGS}, s as (select job job_id, case when section is not null then coalesce(n_bytes, 0)::double end s from lg)
+        select job_id, count(*) n_logs, count(s) n_completed, count(*) - count(s) n_running, round(avg(s), 6) mean_s, min(s) least_s, max(s) most_s, round(sum(s) / nullif(count(s) * 2, 0), 6) per_task_s from s group by job_id""",
+    "log_run_errors": rf"""with {_LOGS}, b as (select * from lg where regexp_matches(text, '{_BAD}') or section is null order by id limit 20)
+        select id, file_id task_id, (lacks and file_path is not null)::bigint n_missing, case when lacks then file_path end first_missing, file_path || e'\tout\tedges\t100' first_job from b""",
+    "file_type_counts": f"with {_LABELS} select config_id || '/' || section || '.npy' file_path, label, count(*) n from l group by config_id, section, label",
+    "step_summary": f"with {_EXPECTED} select regexp_extract(rel_path, '^([A-Z][a-z]+)', 1) as \"method\", count(*) outputs, count(*) // (select count(distinct section) from sections) jobs from ex group by 1",
+    "scores_sorted": "select row_number() over (order by algorithm nulls last, env_k nulls last, clustering_k nulls last, section_name nulls last, file_path nulls last, percolation_score nulls last, scored_at nulls last) - 1 place, file_path, percolation_score, count(*) n from scores group by algorithm, env_k, clustering_k, section_name, file_path, percolation_score, scored_at",
+    "file_gaps": """with g as (select section, epoch_us(modified_at - lag(modified_at) over (partition by section order by modified_at, file_id)) / 1e6 s from score_files where section is not null and modified_at is not null)
         select section, count(s) n, round(avg(s), 6) mean_s, round(min(s), 6) least_s, round(max(s), 6) most_s from g where s is not null group by section""",
     "encode_annotations": f"with {_CODES} select cell_id, \"level\", code from codes",
     "annotation_summary": f"with {_CODES} select \"level\", count(distinct case when code >= 0 then code end) n_types, count(*) n_cells, count_if(code < 0)::bigint n_missing from codes group by \"level\"",

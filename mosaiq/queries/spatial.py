@@ -151,6 +151,15 @@ reach as (select section, u, u v from und union select r.section, r.u, e.v from
 zoned as (select section, u cell_id, min(v) zone from reach group by all)
 """
 
+# smallest label of each cell's component at each step of the sweep
+_LABELS = """,
+ und as materialized (select section, src u, dst v, (ceil(p * 100 - 1e-12) - 1)::int step from act where p > 0.01 union all select section, dst, src, (ceil(p * 100 - 1e-12) - 1)::int from act where p > 0.01),
+ lab(section, t, u, l) using key (section, t, u) as (
+   select distinct section, t, u, u from und, range(1, 100) s(t)
+   union select e.section, x.t, e.v, min(x.l) from lab x join und e on e.section = x.section and e.u = x.u and e.step <= x.t
+   join recurring.lab c on c.section = x.section and c.t = x.t and c.u = e.v where x.l < c.l group by all)
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (spatial_knn_edges, knn_with_self, localfreq_counts, localfreq_weighted, env_weighted, type_fraction, permuted_labels, activation_edges, component_entropy_at_p, entropy_curve, type_entropy_curves, zones_centroids, macro_edges, percolation_score, stuck_users)
@@ -171,6 +180,15 @@ SQL = {
         sz as (select section, sum(s * log2(s)) t from (select section, zone, count(*) s from zoned group by all) group by section),
         n as (select section, count(*) n from pos group by section)
         select n.section, n.n, round(log2(n.n) - coalesce(t, 0) / n.n, 6) entropy from n left join sz using (section)""",
+    "entropy_curve": f"""with recursive {_ACT} {_LABELS},
+        sz as (select section, t, sum(s * log2(s)) s from (select section, t, l, count(*) s from lab group by all) group by all),
+        n as (select section, count(*) n from pos group by section)
+        select n.section, t::int step, t / 100.0 pbond, round(log2(n) - coalesce(s, 0) / n, 6) entropy, n from n cross join range(1, 100) g(t) left join sz using (section, t)""",
+    "type_entropy_curves": f"""with recursive {_ACT} {_LABELS},
+        sz as (select section, "type", t, sum(s * log2(s)) s from (select lab.section, "type", t, l, count(*) s from lab join pos p on p.section = lab.section and p.cell_id = lab.u group by all) group by all),
+        n as (select section, "type", count(*) n from pos where "type" is not null group by all),
+        has as (select distinct section, "type" from act)
+        select n.section, n."type", g.t::int step, round(log2(n) - coalesce(s, 0) / n, 6) + 0.0 entropy from has join n using (section, "type") cross join range(1, 100) g(t) left join sz on sz.section = n.section and sz."type" = n."type" and sz.t = g.t""",
     "zones_centroids": f"""with recursive {_ACT} {_REACH.format(where="")}
         select p.section, p."type", coalesce(z.zone, p.cell_id) zone, count(*) size, round(avg(x), 4) x, round(avg(y), 4) y
         from pos p left join zoned z on z.section = p.section and z.cell_id = p.cell_id where p."type" is not null group by all""",

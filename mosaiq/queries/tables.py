@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.operators import compact, drift, spatial
+from mosaiq.queries import scores
 from mosaiq.session import Scratch, table
 
 NEAR_UM = 4.6
@@ -86,9 +87,17 @@ hit as (select p.cell_id, e.region_id,
 inside as (select cell_id key_1, region_id key_2 from hit group by all having sum(crossing::int) % 2 = 1 or bool_or(onit))
 """
 
+_RECORDS = f"""{scores._PARSED}, {scores._SCORE},
+rec as (select distinct pm.file_id, concat_ws('|', run, "method", feature_type, coalesce(data_type, '-'), coalesce(distance, '-'), coalesce(env_k::varchar, '-'), weighted, coalesce(clustering_k::varchar, '-'), coalesce(annotation_level, '-'),
+          coalesce(printf('%.3f', resolution), case when resolution_idx between 0 and 49 then printf('%.3f', pow(10, -1 + 3.5 * resolution_idx / 49)) end, 'idx' || coalesce(resolution_idx::varchar, '')),
+          case when "method" in ('leiden', 'phenograph') and (data_type is null or distance is null) then algorithm_string else '' end, section) k, raw, normalized
+        from pm join score on score.file_id = pm.file_id where run is not null)"""
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_compacted, p1_kept, p2_found, p2_unified, p4_found, p4_region_counts)}
 
 SQL = {
+    "p1_found": f"""with {_RECORDS} select distinct least(a.file_id, b.file_id) file_id_1, greatest(a.file_id, b.file_id) file_id_2
+        from rec a join rec b on a.k = b.k and a.file_id <> b.file_id where abs(a.raw - b.raw) < 0.0001 and coalesce(abs(a.normalized - b.normalized) < 0.0001, true)""",
     "p1_compacted": "select file_id, file_path, file_text, modified_at from score_files",
     "p4_found": f"with {_POSITIONS} {_NEAR} {_INSIDE} select kind, key_1, key_2 from near union all select 'inside', key_1, key_2 from inside",
     "p4_region_counts": f"with {_POSITIONS} {_INSIDE} select key_2 region_id, count(*) n_cells from inside group by key_2",
