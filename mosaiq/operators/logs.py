@@ -92,7 +92,7 @@ def job_outputs(jobs: DataFrame, sections: DataFrame, base: str = "", n_resoluti
     part = lambda n: F.get(f, F.lit(n - 1))
     head = base.rstrip("/")
     rel = lambda c: F.regexp_replace(c, rf"^\Q{head}\E/(?:(?:graphs|clustering|percolation[a-z_]*)/)?", "") if head else c
-    res = grids.resolution_dirname(paths.grid_value(part(4).try_cast("int"), n_resolutions))
+    res = grids.resolution_dirname(paths.grid_value(part(4).try_cast("int"), n=n_resolutions))
     none = F.array().cast("array<string>")
     one = (
         F.when((F.col("step") == "features") & (F.size(f) >= 3), F.array(F.concat(F.lit("features_"), part(3), F.lit(".npy"))))

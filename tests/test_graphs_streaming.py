@@ -2,7 +2,8 @@ from datetime import datetime, timedelta
 
 import numpy as np
 
-from mosaiq.operators import clustering, communities, features, similarity
+from mosaiq.operators import clustering, communities, features, similarity, vectors
+from mosaiq.session import Scratch
 from mosaiq.streaming import monitor
 
 
@@ -71,3 +72,25 @@ def test_stuck_stream_and_batch(spark, tmp_path):
     finally:
         q.stop()
     assert out == {(1, t + 2 * h), (2, t + h)}
+
+
+def test_leaves_stay_small(spark):
+    """Levels that the sample can't tell apart are fitted below the leaves, so that these don't grow with the rows."""
+    x = np.random.default_rng(4).normal(0, 1, (6000, 5)).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<float>")
+    size = lambda **kw: [r["count"] for r in vectors.grouped(df, "id", "v", 5, 6000, 2, 50, 1, **kw).groupBy("leaf").count().collect()]
+    coarse, fine = size(sample_rows=64, per_leaf=8), size(sample_rows=64, per_leaf=1024)
+    assert sum(coarse) == sum(fine) == 12000 and max(coarse) > 400 and max(fine) < 250
+
+
+def test_connected_by_joins_and_in_a_task(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = [tuple(map(int, rng.integers(0, 120, 2))) for _ in range(70)]
+    df = spark.createDataFrame(pairs, "u long, v long")
+    got = []
+    for most in (3, 1000):
+        monkeypatch.setattr(communities, "IN_ONE_TASK", most)
+        got.append({(r["id"], r["root"]) for r in communities.connected(Scratch(spark, "test"), df).collect()})
+    assert got[0] == got[1] and all(root <= i for i, root in got[0])
+    root = dict(got[0])
+    assert all(root[a] == root[b] for a, b in pairs if a != b)

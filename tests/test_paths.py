@@ -65,3 +65,12 @@ def test_grids(spark):
     assert one.select(grids.resolution_dirname(F.lit(316.227766)).alias("x")).first()["x"] == "res_316p228"
     assert one.select(grids.derived_name(F.lit("localfreq_w_k50"), F.lit("pca"), F.lit(15)).alias("x")).first()["x"] == "localfreq_w_pca15_k50"
     assert one.select(grids.chunk_size(F.lit(0.15)).alias("x")).first()["x"] == 19200
+
+
+def test_localfreq_names_both_ways(spark):
+    one = spark.range(1)
+    for dt, folder in (("localfreq_k50", "LeidenLocalfreqK50Cosine"), ("localfreq_w_k100", "LeidenLocalfreqWK100Cosine"), ("localfreq_pca15_k50", "LeidenLocalfreqPca15K50Cosine"), ("scvi", "LeidenSCVICosine")):
+        null = F.lit(None).cast("boolean")
+        assert one.select(grids.folder_name(F.lit("leiden"), F.lit(dt), F.lit("cosine"), F.lit(None).cast("int"), null).alias("x")).first()["x"] == folder
+        m = one.select(paths.parse_path(F.lit(f"{folder}/res_0p100/S.01.npy")).alias("m")).first()["m"]
+        assert (m["data_type"], m["distance"], m["resolution"]) == (dt, "cosine", 0.1) and folder == f"Leiden{grids.data_type_name(dt)}Cosine"

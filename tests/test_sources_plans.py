@@ -2,6 +2,7 @@ import io
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mosaiq.functions import grids
 from mosaiq.operators import logs, results
@@ -70,9 +71,51 @@ def test_run_config(spark):
         run.matching(["a"], "b")
 
 
+HEAD = "Processing chunk: chunk_{0:04d}_of_0010.txt\nTask ID: {0}\nStart time: Mon Feb  9 00:00:00 PST 2026\nProcessing 2 percolation jobs from chunk\n"
+TAIL = "End time: Mon Feb 9 00:01:05 PST 2026\nDone SGE_TASK_ID {0}\n"
+LOGS = {
+    "run_clustering.123.7.log": HEAD.format(7),
+    "test_run_percolation.111.1.log": HEAD.format(1) + "  Skipping missing file: /tmp/missing.npy\n" + TAIL.format(1),
+    "test_run_percolation.111.2.log": HEAD.format(2) + "finance abandoned, no errors\n" + TAIL.format(2),
+    "test_run_percolation.111.3.log": HEAD.format(3) + "x\r\n error: disk \n" * 7 + TAIL.format(3),
+    "odd name": "",
+    "nothing.1.2.log": None,
+}
+
+
 def test_logs(spark):
-    df = spark.createDataFrame([("a", "Job started\nworking"), ("b", "Job started\nWARNING: x\nDone"), ("c", "x\nTraceback (most recent)"), ("d", None)], "id string, text string")
-    assert {r["id"]: r["category"] for r in logs.classify(df).collect()} == {"a": "abnormal_end", "b": "warning", "c": "error", "d": "ok"}
+    df = spark.createDataFrame(list(LOGS.items()), "id string, text string")
+    c = {r["id"]: r for r in logs.classify(df).collect()}
+    flags = {k: (r["has_error"], r["has_warning"], r["abnormal_end"], r["suspicious"]) for k, r in c.items()}
+    names = list(LOGS)
+    assert [flags[n] for n in names] == [(False, False, True, True), (False, True, False, True), (False,) * 4, (True, False, False, True), (False,) * 4, (False,) * 4]
+    assert c[names[0]]["lines"] == ["Abnormal termination (last line): Processing 2 percolation jobs from chunk"]
+    assert c[names[1]]["lines"] == ["Skipping missing file: /tmp/missing.npy"] and c[names[3]]["lines"] == ["error: disk"] * 5
+    p = {r["id"]: r for r in logs.parse(df).collect()}
+    assert (p[names[0]]["job_id"], p[names[0]]["task_id"], p[names[0]]["seconds"], p[names[0]]["n_tasks"], p[names[0]]["chunk"]) == ("123", 7, None, 2, "chunk_0007_of_0010.txt")
+    assert p[names[1]]["seconds"] == 65 and p["odd name"]["task_id"] is None and p["odd name"]["n_tasks"] == 1
+    d = logs.durations(logs.parse(df), ["job_id"]).where("job_id = '111'").first()
+    assert (d["n_logs"], d["n_completed"], d["n_running"], d["mean_s"], d["per_task_s"]) == (3, 3, 0, 65, 32.5)
+
+
+def test_run_errors(spark):
+    """Warning logs are mapped to the missing outputs and job lines of their tasks."""
+    line = "LeidenRawCosine/res_0/{}.npy\t/o/percolation_results\t/o/edge_lists\t100\t/xy\t/o/clustering"
+    jobs = spark.createDataFrame([("percolation", 1, line.format(s)) for s in ("S1", "S2")] + [("features", 2, "features\tin.h5ad\traw"), ("graphs", 3, "f.npy\t/o/graphs/graph_raw_cosine.npz"), ("clustering", 4, "g\tx\t/o/clustering/LeidenRawCosine\t0"), ("aggregation", 5, "a\t/o/scores.csv\tc\td\t/o/reduced.csv"), ("graphs", 6, "short")], "step string, task_id int, job_line string")
+    out = logs.job_outputs(jobs, spark.createDataFrame([("S1",), ("S2",)], "section string"), "/o")
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["task_id"], set()).add(r["rel_path"])
+    assert got == {1: {"LeidenRawCosine/res_0/S1.score", "LeidenRawCosine/res_0/S2.score"}, 2: {"features_raw.npy"}, 3: {"graph_raw_cosine.npz"}, 4: {"LeidenRawCosine/res_0p100/S1.npy", "LeidenRawCosine/res_0p100/S2.npy"}, 5: {"scores.csv", "reduced.csv"}}
+    df = spark.createDataFrame(list(LOGS.items()), "id string, text string")
+    found = logs.classify(df).join(logs.parse(df).select("id", F.col("task_id").cast("int").alias("task_id")), "id").withColumn("step", F.lit("percolation"))
+    r = {x["task_id"]: x for x in logs.run_errors(found, out, out.where("task_id = 1"), max_missing=1).collect()}
+    assert set(r) == {1, 3, 7} and r[1]["n_missing"] == 2 and r[1]["missing"] == ["LeidenRawCosine/res_0/S1.score"] and len(r[1]["jobs"]) == 2 and r[7]["n_missing"] == 0
+
+
+def test_calibration(spark):
+    df = spark.createDataFrame([("a", 'total_time_seconds: 2.5\n"total_time_seconds": 1'), ("b", "Processed x.npy in 3 seconds"), ("c", "nothing"), ("d", None)], "id string, text string")
+    assert {(r["id"], r["n_files"], r["total_s"], r["least_s"]) for r in logs.calibration(df).collect()} == {("a", 2, 3.5, 1.0), ("b", 1, 3.0, 3.0)}
 
 
 def test_ari(spark):
