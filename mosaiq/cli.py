@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import functions as F
 
 from mosaiq.functions import grids
-from mosaiq.operators import clustering, communities, compact, features, neighborhood, neighbors, percolation, results, similarity, spatial
+from mosaiq.operators import clustering, communities, compact, features, logs, neighborhood, neighbors, percolation, results, similarity, spatial
 from mosaiq.plans import run as plans
 from mosaiq.session import get_spark
 from mosaiq.sources import files
@@ -34,6 +34,12 @@ def _args() -> argparse.ArgumentParser:
     add("reduce-scores", "weighted statistics per configuration", inp, out, ("--cells", {"required": True}))
     add("ari", "pairwise adjusted Rand index of labelings", inp, out, ("--min-labels", {"type": int, "default": 1}))
     add("status", "progress of a run", inp, ("--config", {"required": True}), ("--cells", {"required": True}))
+    add("derived", "derived features", inp, out, ("--operation", {"default": "pca"}), ("--n", {"type": int, "default": 50}))
+    add("rescore", "scores from stored curves", inp, out)
+    add("timing", "durations of the logs in a folder", inp, out)
+    add("analyze-error", "suspicious logs with the lines that say so", inp, out)
+    add("calibrate", "seconds per file from calibration logs", inp, out)
+    add("manifest", "summary of a run", out, ("--config", {"required": True}), ("--cells", {"required": True}))
     add("calc-chunk-size", "items for a target time", ("--seconds", {"type": float, "required": True}), ("--hours", {"type": float, "default": 1.0}))
     return p
 
@@ -67,6 +73,19 @@ def main(argv: list[str] | None = None) -> None:
         out = results.reduce_scores(read(a.input), results.section_cells(read(a.cells)))
     elif a.command == "ari":
         out = results.adjusted_rand(results.contingency(results.distinct_labels(read(a.input))), a.min_labels)
+    elif a.command == "derived":
+        out = features.derive(read(a.input), a.operation, a.n)
+    elif a.command == "rescore":
+        out = files.rescore(spark, a.input)
+    elif a.command == "timing":
+        out = logs.durations(logs.parse(files.read_logs(spark, a.input)), ["job_id"])
+    elif a.command == "analyze-error":
+        out = logs.classify(files.read_logs(spark, a.input)).where("suspicious").drop("text")
+    elif a.command == "calibrate":
+        out = logs.calibration(files.read_logs(spark, a.input))
+    elif a.command == "manifest":
+        plans.RunConfig.from_yaml(a.config).write_manifest(spark, read(a.cells), a.output)
+        return
     elif a.command == "status":
         plans.status(spark, plans.RunConfig.from_yaml(a.config), read(a.cells), read(a.input)).show(truncate=False)
         return

@@ -192,3 +192,16 @@ def build_path(m: Column, extension: str = ".npy") -> Column:
     k = lambda c: F.concat(F.lit("k_"), c.cast("string"))
     mid = F.when(m["method"] == "lda", F.concat_ws("/", k(m["env_k"]), k(m["clustering_k"]))).when(m["method"] == "kmeans", k(m["clustering_k"])).when(m["method"].isin("leiden", "phenograph"), res)
     return F.concat_ws("/", algo, mid, F.concat(m["section"], F.lit(extension)))
+
+
+def label_folder(columns: list[str]) -> Column:
+    """Folder of a configuration's labels below its algorithm's: by resolution, else by index, else by clustering_k.
+
+    The algorithm is algorithm_string where that is given, else algorithm. Columns that a table lacks count as null.
+    """
+    from mosaiq.functions.grids import resolution_dirname
+
+    col = lambda c, t: F.col(c).cast(t) if c in columns else F.lit(None).cast(t)
+    named = lambda head, c: F.concat(F.lit(head), col(c, "bigint").cast("string"))
+    sub = F.coalesce(resolution_dirname(col("resolution", "double")), named("res_", "resolution_idx"), named("k_", "clustering_k"))
+    return F.concat_ws("/", F.coalesce(col("algorithm_string", "string"), col("algorithm", "string")), sub)

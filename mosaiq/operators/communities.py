@@ -119,3 +119,29 @@ def leiden(edges: DataFrame, resolution: float = 1.0, rounds: int = 8, levels: i
             break
     low = member.groupBy("c").agg(F.min("id").alias("community"))
     return member.join(low, "c").select("id", "community")
+
+
+def choose_resolution(value: float | None = None, index: int | None = None, n: int = 50) -> float:
+    """A resolution by value, else by index of the grid of n values, else the middle one of the grid."""
+    from mosaiq.functions.grids import resolution_values
+
+    return value if value is not None else resolution_values(n)[n // 2 if index is None else index]
+
+
+def leiden_sections(edges: DataFrame, cells: DataFrame, resolutions: list[float], seed: int = 42) -> DataFrame:
+    """(config_id, section, cell_id, label) for each resolution: communities numbered from 0 by size, the largest first.
+
+    Cells (section, cell_id) without edges are communities of one, numbered behind the others in order of their ids.
+    """
+    from mosaiq.functions.grids import resolution_dirname
+    from mosaiq.operators.ordered import rank
+
+    s, out = Scratch(edges.sparkSession, "leiden"), None
+    for r in resolutions:
+        c = leiden(edges, r, seed=seed, scratch=s)
+        all_ = s.put(cells.select("section", "cell_id").join(c.withColumnRenamed("id", "cell_id"), "cell_id", "left").withColumn("community", F.coalesce("community", "cell_id")), "cells")
+        size = all_.groupBy("community").agg((-F.count("*")).alias("size")).withColumn("_all", F.lit(0))
+        label = rank(s, size, ["_all"], ["size", "community"], "label").select("community", F.col("label").cast("int").alias("label"))
+        one = all_.join(label, "community").select(resolution_dirname(F.lit(float(r))).alias("config_id"), "section", "cell_id", "label")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -87,3 +87,34 @@ def subsample(cells: DataFrame, sections: int, per_section: int, seed: int = 42)
     c = cells.where("cell_id is not null").join(first, "section").select("section", "cell_id").distinct()
     w = W.partitionBy("section").orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("cell_id").cast("string"))), "cell_id")
     return c.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_section).select("section", "cell_id")
+
+
+SECTION_COLUMNS = ("brain_section_label", "section", "Section", "sample", "batch")  # in order of preference
+
+
+def section_column(df: DataFrame, wanted: str | None = None) -> str | None:
+    """The column that holds the section: the wanted one, else the first usual name there is. A wanted one that lacks raises ValueError."""
+    if wanted:
+        if wanted not in df.columns:
+            raise ValueError(f"no column {wanted}")
+        return wanted
+    return next((c for c in SECTION_COLUMNS if c in df.columns), None)
+
+
+def for_clustering(df: DataFrame, kind: str, n: int = 8, wanted: str | None = None) -> DataFrame:
+    """(cell_id, section, features): features by name with the section of each cell, "0" where none is known."""
+    c = section_column(df, wanted)
+    s = df.groupBy("cell_id").agg((F.min(F.col(f"`{c}`").cast("string")) if c else F.lit(None).cast("string")).alias("section"))
+    return extract(df, kind, n).join(s, "cell_id", "left").select("cell_id", F.coalesce("section", F.lit("0")).alias("section"), "features")
+
+
+def derive(df: DataFrame, operation: str, n: int = 50, standardise: bool = True) -> DataFrame:
+    """(cell_id, features) of a derived operation on features: pca (n components), log1p, standardise. Others raise ValueError."""
+    if operation == "pca":
+        return pca(df, "features", n, standardise).withColumnRenamed("pca", "features")
+    if operation == "log1p":
+        return df.select("cell_id", log1p(F.col("features")).alias("features"))
+    if operation == "standardise":
+        m = df.select(F.size("features").alias("n")).where("n > 0").first()
+        return standardised(df, "features", m["n"] if m else 0)
+    raise ValueError(f"unknown operation: {operation}")

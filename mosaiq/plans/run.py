@@ -6,6 +6,7 @@ are the rows of an anti join, and Spark schedules the work.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -96,6 +97,53 @@ class RunConfig:
             out.append(spec)
         return out
 
+    @property
+    def phenographs(self) -> list[tuple[str, str, int]]:
+        """Each (data type, distance, k_jaccard) for which a Jaccard graph is needed, once."""
+        return list(dict.fromkeys((dt, d, m.k_jaccard) for m in self.methods if m.method == "phenograph" for dt in m.data_types for d in m.distances))
+
+    @property
+    def graph_k(self) -> int:
+        return int(self.steps.get("graphs", {}).get("k", 15))
+
+    @property
+    def percolation_max_k(self) -> int:
+        return int(self.steps.get("percolation", {}).get("max_k", 100))
+
+    def path(self, name: str, default: str | None = None) -> str:
+        """A folder or file of the output, such as ``clustering_dir`` or ``scores_csv``, below base_dir unless it is absolute."""
+        out = self.raw["output"]
+        at = out.get(name, default or name.removesuffix("_dir"))
+        return at if at.startswith("/") or "://" in at else f"{str(out.get('base_dir', '.')).rstrip('/')}/{at}"
+
+    def write_manifest(self, spark: SparkSession, sections: DataFrame, out: str) -> None:
+        """The run's name, features, graphs and expected outputs per step as one JSON object in a text table."""
+        counts = {r["step"]: r["count"] for r in expected(spark, self, sections).groupBy("step").count().collect()}  # one row per step
+        text = json.dumps({"run_name": self.run_name, "features": self.features, "phenographs": self.phenographs, "graph_k": self.graph_k, "percolation_max_k": self.percolation_max_k, "expected": counts})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(out)
+
+
+@dataclass
+class ComparisonConfig:
+    """A checked configuration of pairwise comparisons; missing keys and values out of range raise ValueError."""
+
+    configs: str
+    labels: str
+    output: str
+    sections: list[str] | None = None
+    id_cols: tuple[str, ...] = ()
+    min_labels: int = 1
+
+    @classmethod
+    def of(cls, raw: dict) -> ComparisonConfig:
+        inp, out = raw.get("input", {}), raw.get("output", {})
+        if lacking := [k for k, d in (("configs_csv", inp), ("clustering_dir", inp), ("base_dir", out)) if k not in d]:
+            raise ValueError(f"configuration lacks {lacking}")
+        c = raw.get("comparison", {})
+        if int(c.get("min_labels", 1)) < 1:
+            raise ValueError("min_labels must be at least 1")
+        return cls(inp["configs_csv"], inp["clustering_dir"], out["base_dir"], inp.get("sections"), tuple(c.get("id_cols", ())), int(c.get("min_labels", 1)))
+
 
 def matching(names: list[str], patterns: str | list[str]) -> list[str]:
     """Names that match any shell pattern, in their own order, once each. A literal that isn't there raises ValueError."""

@@ -56,3 +56,27 @@ def pending_files(inputs: DataFrame, outputs: DataFrame, in_ext: str, out_ext: s
 
 def write_environment_csv(wide: DataFrame, out: str) -> None:
     wide.write.option("header", "true").csv(out)
+
+
+def write_curves(curves: DataFrame, out: str) -> None:
+    """Entropy curves (section, variant, step, pbond, entropy, n), by section, so that one can be read alone."""
+    curves.repartition("section").write.partitionBy("section").parquet(out)
+
+
+def rescore(spark: SparkSession, path: str, sections: list[str] | None = None) -> DataFrame:
+    """(section, n, raw, normalized) anew from stored curves. Sections that lack one variant or any step have no score."""
+    from mosaiq.operators.percolation import percolation_score
+
+    c = spark.read.schema("variant byte, step int, pbond double, entropy double, n long, section string").parquet(path)
+    c = c.where(F.col("section").isin(sections)) if sections else c
+    ok = F.col("entropy").isNotNull() & (F.abs("entropy") < float("inf"))
+    whole = c.groupBy("section").agg(F.countDistinct(F.when(ok & (F.col("variant") == 0), F.col("step"))).alias("a"), F.countDistinct(F.when(ok & (F.col("variant") == 1), F.col("step"))).alias("b"), F.max("step").alias("last"))
+    c = c.join(whole.where("a = last and b = last").select("section"), "section", "left_semi")
+    return percolation_score(c.where("variant = 0"), c.where("variant = 1"))
+
+
+def write_snapshot(configs: DataFrame, order: list[str], out: str) -> None:
+    """Configurations as CSV with header, numbered by _row_idx (from 0) in the given, unique order."""
+    from mosaiq.operators.results import in_order
+
+    in_order(configs, order).withColumnRenamed("place", "_row_idx").write.option("header", "true").csv(out)
