@@ -286,7 +286,7 @@ def greedy_search(graph: DataFrame, queries: DataFrame, dim: int, k: int, beam:
     return b.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k).select(F.col("q").alias("src"), F.col("node").alias("dst"), "d2", "rank")
 
 
-def search(df: DataFrame, queries: DataFrame, id_col: str, vec: str, dim: int, k: int = 5, graph_k: int = 12, rounds: int = 12, scratch: Scratch | None = None) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, id_col: str, vec: str, dim: int, k: int = 5, graph_k: int = 12, rounds: int = 12, trees: int = 3, leaf: int = 320, scratch: Scratch | None = None) -> DataFrame:
     """(src, dst, d2, rank): the k nearest of the queries among all rows, through an NN-descent graph.
 
     ``queries`` holds ids of rows (column id), or any vectors (columns id and v), which find rows of the same id, too.
@@ -297,7 +297,7 @@ def search(df: DataFrame, queries: DataFrame, id_col: str, vec: str, dim: int, k
     once, *copies = _searched_once(s, df, id_col, vec, dim, k)
     of = queries.select(F.col("id").cast("long").alias("id"), *(["v"] if "v" in queries.columns else []))
     once = s.put(once, "once")
-    g = nn_descent(once, "id", "v", dim, lists=graph_k, rounds=rounds, scratch=s, graph=True)
+    g = nn_descent(once, "id", "v", dim, lists=graph_k, trees=trees, leaf=leaf, rounds=rounds, scratch=s, graph=True)
     if "v" in of.columns:
         of = s.put(valid(of, "v", dim), "outside").select("id", F.col("v").cast("array<float>").alias("v"))
         found = greedy_search(g, of.mapInArrow(_as_binary(dim), "id long, v binary"), dim, k, scratch=s, start=entries(once, of, dim, graph_k))

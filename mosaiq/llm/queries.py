@@ -40,7 +40,7 @@ def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The five cells most similar to every 20th cell in x_pca, by greedy search among all cells."""
     cells = table(spark, d, "cell_expression")
     queries = cells.where("cell_id % 20 = 0").select(F.col("cell_id").alias("id"))
-    return neighbours.search(cells, queries, "cell_id", "x_pca", 15).select(F.col("src").alias("cell_id"), F.col("dst").alias("near_id"), "rank")
+    return neighbours.search(cells, queries, "cell_id", "x_pca", 15, graph_k=10, trees=4, leaf=640, rounds=2).select(F.col("src").alias("cell_id"), F.col("dst").alias("near_id"), "rank")
 
 
 def _tokens() -> Column:
