@@ -62,6 +62,13 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(_packed(spark, d), CAPACITY)
 
 
+def p6_documents(spark: SparkSession, d: str) -> DataFrame:
+    """What packing must keep: each document once, in full, in containers that aren't overfull."""
+    p = _packed(spark, d)
+    j = p.join(p.groupBy("bin").agg(F.sum("size").alias("fill")), "bin")
+    return j.groupBy(F.col("id").alias("doc_id")).agg(F.sum("size").alias("size"), F.count("*").cast("int").alias("n_pieces"), (F.max("fill") <= CAPACITY).alias("fits"))
+
+
 def _mixed(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", "source", _tokens().alias("n"))
     return mixing.mix(docs, table(spark, d, "mix_targets"), "doc_id", "source", "n")
@@ -81,6 +88,14 @@ def p7_drawn(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)["drawn"]
 
 
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """What mixing must keep: no document is used more often than its source allows, no source gives more than it may."""
+    m = _mixed(spark, d)
+    uses = m["drawn"].groupBy("source", "id").agg(F.count("*").alias("n")).groupBy("source").agg(F.max("n").alias("most"))
+    r = m["report"].join(uses, "source", "left")
+    return r.select("source", "source_size", "short", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("in_repeats"), (F.col("drawn_size") <= F.col("max_repeats") * F.col("source_size")).alias("in_size"))
+
+
 MOST_NAMES = 200_000  # words of item names that may be sent to all tasks
 
 
@@ -102,7 +117,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return _passages(spark, d).select(F.col("id").alias("doc_id"), "passage", "lang", "n_words", "confidence")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p5_found, p5_nearest, p6_found, p6_containers, p7_found, p7_report, p7_drawn, p8_found, p8_passages)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p5_found, p5_nearest, p6_found, p6_containers, p6_documents, p7_found, p7_report, p7_drawn, p7_limits, p8_found, p8_passages)}
 _NEAR = """select '{space}' space, least(s, o) cell_id_1, greatest(s, o) cell_id_2 from (select s, o, row_number() over (partition by s order by d, o) k from (
     select a.cell_id s, b.cell_id o, array_distance(a.x, b.x) d from {space}_v a join {space}_v b on a.cell_id <> b.cell_id and a.x[1] between b.x[1] - {r} and b.x[1] + {r} and array_distance(a.x, b.x) <= {r})) where k <= 5"""
 _VALID = "{space}_v as materialized (select cell_id, any_value({space})::double[{n}] x from cell_expression where cell_id is not null and len({space}) = {n} and len(list_filter({space}, lambda v: v is null or not isfinite(v))) = 0 group by cell_id)"
@@ -113,6 +128,11 @@ SQL = {
         select cell_id, anchor_id from r""",
     "p5_found": f"""with {", ".join(_VALID.format(space=s, n=n) for s, n, _ in SPACES)} {" union ".join(_NEAR.format(space=s, r=r) for s, _, r in SPACES)}""",
     "p6_found": "select doc_id from documents where coalesce(strlen(text), 0) > 2048",
+    "p6_documents": "select doc_id, max(coalesce(strlen(text), 0))::bigint size, greatest(1, ceil(max(coalesce(strlen(text), 0)) / 2048))::int n_pieces, true fits from documents where doc_id is not null group by doc_id",
+    "p7_limits": r"""
+        with d as (select regexp_replace(lower(source), '[\s_-]+', '', 'g') k, sum(coalesce(strlen(text), 0)) size from documents where doc_id is not null group by 1),
+        j as (select t.source, target_share, max_repeats, coalesce(d.size, 0)::bigint size from (select *, regexp_replace(lower(source), '[\s_-]+', '', 'g') k from mix_targets) t left join d using (k))
+        select source, size source_size, target_share * (select sum(size) from j) > max_repeats * size short, true in_repeats, true in_size from j""",
     "p7_found": r"""
         with d as (select regexp_replace(lower(source), '[\s_-]+', '', 'g') k, sum(coalesce(strlen(text), 0)) size from documents group by 1),
         t as (select *, regexp_replace(lower(source), '[\s_-]+', '', 'g') k from mix_targets),
