@@ -35,6 +35,8 @@ def search(s: Scratch, points: DataFrame, queries: DataFrame, schema: str, extra
     longs; ids are unique. ``answer`` gets the columns of a block of queries, of their candidates, and all squared distances.
     Queries also have ``edge``, the distance within which all points are among the candidates (infinite if these are
     all), ``sec``, the xxhash64 of by, and ``tile``, which names a few dozen grid cells that lie together.
+    Tables of grid cells grow with the points but look small to Spark, as explode counts for nothing in its estimates: their
+    joins are by merge, else the driver would have to broadcast them.
     """
     by, own = list(by), ["id", "x", "y", *extra]
     stat = points.groupBy(*by).agg(F.sum("weight").alias("total"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
@@ -50,9 +52,9 @@ def search(s: Scratch, points: DataFrame, queries: DataFrame, schema: str, extra
     # weight around each fine cell, by level
     lev = cells.select(*by, "fx", "fy", "w", "deep", F.explode(F.sequence(F.lit(0), F.col("deep"))).alias("level"))
     lev = lev.withColumn("gx", up("fx", "level")).withColumn("gy", up("fy", "level"))
-    sums = lev.groupBy(*by, "level", "gx", "gy").agg(F.sum("w").alias("w"))
+    sums = lev.groupBy(*by, "level", "gx", "gy").agg(F.sum("w").alias("w")).hint("merge")
     held = lev.drop("w").join(sums, [*by, "level", "gx", "gy"]).groupBy(*by, "fx", "fy").agg(F.array_sort(F.collect_list(F.struct("level", "w"))).alias("held"))
-    q = at(queries).join(held, [*by, "fx", "fy"], "left")
+    q = at(queries).join(held.hint("merge"), [*by, "fx", "fy"], "left")
     level = F.greatest(F.size(F.filter("held", lambda h: h["w"] * 2.0 >= F.greatest(F.col("need"), F.lit(LEAST_AROUND)))) - 1, F.lit(0))
     open_ = s.put(q.select(*by, *own, "need", "x0", "y0", "span", "deep", "fx", "fy", F.when(F.col("held").isNull(), 0).otherwise(level).alias("level")), "open")
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -65,21 +67,21 @@ def search(s: Scratch, points: DataFrame, queries: DataFrame, schema: str, extra
         qc = o.groupBy(*by, "level", "gx", "gy").agg(F.ceil(F.count("*") / QUERIES_AT_ONCE).cast("int").alias("salts"), F.first("deep").alias("deep"))
         # fine cells that each query cell looks at
         look = qc.withColumn("o", F.explode(around)).select(*by, "level", F.col("gx").alias("tx"), F.col("gy").alias("ty"), "salts", (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"))
-        seen = lev.select(*by, "fx", "fy", "level", "gx", "gy").join(look, [*by, "level", "gx", "gy"])
+        seen = lev.select(*by, "fx", "fy", "level", "gx", "gy").join(look.hint("merge"), [*by, "level", "gx", "gy"])
         seen = seen.select(*by, "fx", "fy", "level", F.col("tx").alias("gx"), F.col("ty").alias("gy"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         null = F.lit(None).cast("double")
-        cand = p.join(seen, [*by, "fx", "fy"]).select(key.alias("h"), sec.alias("sec"), F.lit(False).alias("query"), *own, F.col("weight").cast("double").alias("need"), null.alias("edge"), F.lit(0).cast("long").alias("tile"))
+        cand = p.join(seen.hint("merge"), [*by, "fx", "fy"]).select(key.alias("h"), sec.alias("sec"), F.lit(False).alias("query"), *own, F.col("weight").cast("double").alias("need"), null.alias("edge"), F.lit(0).cast("long").alias("tile"))
         side = F.col("span") / F.pow(F.lit(2.0), "level")
         far = lambda c, c0, g: F.least(F.col(c) - F.col(c0) - (F.col(g) - 1) * side, (F.col(g) + 2) * side - (F.col(c) - F.col(c0)))
         edge = F.when(F.col("level") == 0, F.lit(float("inf"))).otherwise(F.least(far("x", "x0", "gx"), far("y", "y0", "gy")) * (1 - 1e-9))
-        ask = o.join(qc.select(*by, "level", "gx", "gy", "salts"), [*by, "level", "gx", "gy"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+        ask = o.join(qc.select(*by, "level", "gx", "gy", "salts").hint("merge"), [*by, "level", "gx", "gy"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
         tile = F.xxhash64(*by, "level", F.shiftright("gx", 3), F.shiftright("gy", 3))
         ask = ask.select(key.alias("h"), sec.alias("sec"), F.lit(True).alias("query"), *own, F.col("need").cast("double").alias("need"), edge.alias("edge"), tile.alias("tile"))
         parts = max(8, -(-n_open * 4 // TASK_ROWS))
         got = ask.unionByName(cand).repartition(parts, "h").mapInArrow(_meet(own, answer), f"done boolean, id long, {schema}")
         got = s.put(got, "round")
         done.append(got.where("done and id is null").drop("done", "id"))
-        nxt = s.put(open_.join(got.where("not done").select("id"), "id", "left_semi").withColumn("level", F.greatest(F.col("level") - up_by, F.lit(0))), "open")
+        nxt = s.put(open_.join(got.where("not done").select("id").hint("merge"), "id", "left_semi").withColumn("level", F.greatest(F.col("level") - up_by, F.lit(0))), "open")
         s.drop(open_)
         open_ = nxt
     if not done:

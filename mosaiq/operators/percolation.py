@@ -214,7 +214,7 @@ def zone_table(points: DataFrame, zoned: DataFrame, variants: tuple[str, ...] =
     """(section, variant, type, zone, size, x, y): size and centroid of each zone, zones of one included."""
     types = F.explode(F.array(*[F.struct(F.lit(n).cast("byte").alias("variant"), F.col(v).alias("type")) for n, v in enumerate(variants)]))
     t = points.select("section", "cell_id", "x", "y", types.alias("_t")).select("section", "cell_id", "x", "y", "_t.*").where("type is not null")
-    t = t.join(zoned.select("variant", "cell_id", "zone"), ["variant", "cell_id"], "left")
+    t = t.join(zoned.select("variant", "cell_id", "zone").hint("merge"), ["variant", "cell_id"], "left")
     return t.groupBy("section", "variant", "type", F.coalesce("zone", "cell_id").alias("zone")).agg(F.count("*").alias("size"), F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
@@ -252,7 +252,7 @@ def macro_edges(zone: DataFrame, fractions: DataFrame, steps: int = STEPS, scrat
     of = z.select(name.alias("a"), "section", "variant", "type").join(fractions.select("section", "type", "fraction"), ["section", "type"])
     p = F.lit(1.0) - F.exp(-F.greatest(F.col("k"), F.lit(1.0)) * F.col("fraction"))
     half = lambda c: F.shiftright(c, 1)
-    e = e.join(of, "a").select("section", "variant", "type", half("a").alias("src"), half("b").alias("dst"), p.alias("p"))
+    e = e.join(of.hint("merge"), "a").select("section", "variant", "type", half("a").alias("src"), half("b").alias("dst"), p.alias("p"))
     return e.where(F.col("p") <= float(np.linspace(0, 1, steps + 1)[steps - 1]))
 
 

@@ -195,3 +195,29 @@ def test_edges_of_the_last_step(spark):
     got = [(r["src"], r["dst"]) for r in percolation.last_edges(Scratch(spark, "test"), zones, macro).collect()]
     assert not {(a, b) for _, a, b in never} & set(got)
     assert sorted(map(sorted, merged([*range(1, 6), 10, 11, 20, 21, 22], [(a, b, 1) for a, b in got], lambda p: True))) == [[1, 2, 3, 4, 5], [10], [11], [20, 21], [22]]
+
+
+def test_grid_cells_are_never_broadcast(spark, monkeypatch):
+    """Tables that explode makes look small to Spark whatever their size, and the driver must not hold them."""
+    plans, put = [], Scratch.put
+
+    def watched(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(self, df, name)
+
+    monkeypatch.setattr(Scratch, "put", watched)
+    pts = [("s", i, float(i % 20), float(i // 20), "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(pts, "section string, cell_id long, x double, y double, type string")
+    got = neighbors.spatial_knn(df, 3)
+    assert got.count() == 1200
+    broadcast = [p for p in plans if "BroadcastHashJoin" in p]
+    assert broadcast  # small tables of fixed size may be
+    for plan in broadcast:
+        depth, inside = None, False
+        for line in plan.splitlines():
+            at = len(line) - len(line.lstrip(" :+-"))
+            if inside and at <= depth:
+                inside = False
+            if "BroadcastExchange" in line and not inside:
+                depth, inside = at, True
+            assert not (inside and ("Generate" in line or "collect_list" in line)), plan
