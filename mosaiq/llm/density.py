@@ -3,8 +3,8 @@
 Mutual-reachability neighbour graph -> minimum spanning forest (Borůvka) -> condensed hierarchy -> clusters by
 stability -> exemplars. The graph comes from a forest of random splits, within whose leaves all pairs count. Borůvka
 runs in two parts: first inside regions of space, each a task that knows all edges at its vertices and contracts what
-is certain, then in Spark over the components that are left. The hierarchy is exact for the spanning forest: the
-lightest edges are worked on first, in components of bounded size that many tasks hold, then these are contracted.
+is certain, then in Spark over the components that are left. The hierarchy is exact for the spanning forest:
+vertices come into components of the least size that counts, in parts of bounded size, then the tree of these is worked on.
 """
 
 from __future__ import annotations
@@ -282,19 +282,146 @@ def _cores(near: DataFrame, held: DataFrame, min_samples: int) -> DataFrame:
 
 
 MOST_EDGES = 200_000  # forest edges of one component that a task works on in order
-STEP_IN = "r long, kind byte, a long, b long, w double, size long, node long, s1 double, below double"
-STEP_OUT = "kind byte, a long, b long, x double, size long, below double, self boolean"
-COMPONENT, EDGE_ROW = 0, 1
-ALIVE, ABSORBED, CLOSED = 0, 1, 2
+FATE = "a long, b long, n long, w double"
 
 
-def _join_up(min_size: int, eps: float):
+def _come_in(min_size: int):
+    """Kernel: edges of whole groups of small components, in order of weight, to what becomes of these: (a, b, n, w).
+
+    n is a component's size, 0 for a base, which is what has reached min_size: a small component a is in b now, which is a
+    base since the weight w, or a small one of size n. Groups don't go through bases, so a base can stand in many.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = whole(batches)
+        if t is None:
+            return
+        r, u, v, w, nu, nv = (t.column(c).to_numpy() for c in ("r", "u", "v", "w", "nu", "nv"))
+        n = np.r_[nu, nv]
+        key, at, inv = np.unique(np.stack([np.r_[u, v], np.where(n > 0, 0, np.r_[r, r]), n == 0]), axis=1, return_index=True, return_inverse=True)
+        inv, size = inv.ravel(), n[at].tolist()
+        order = np.argsort(w, kind="stable")
+        u, v, w = inv[: len(w)][order].tolist(), inv[len(w) :][order].tolist(), w[order].tolist()
+        name, count = key[0].tolist(), len(at)
+        base = [x if k == 0 else None for x, k in zip(name, size)]
+        parent, members, fate = list(range(count)), {}, []
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        i, m = 0, len(w)
+        while i < m:
+            at, parts = w[i], {}
+            while i < m and w[i] == at:  # edges of equal weight are one event
+                p, q = find(u[i]), find(v[i])
+                i += 1
+                if p != q:
+                    if len(members.get(p, ())) < len(members.get(q, ())):
+                        p, q = q, p
+                    parts[p] = (parts.pop(p, None) or [p]) + (parts.pop(q, None) or [q])
+                    parent[q] = p
+            for p, old in parts.items():
+                small = [x for x in old if base[x] is None]
+                kept = [base[x] for x in old if base[x] is not None]
+                total, low = sum(size[x] for x in small), min((name[x] for x in small), default=None)
+                into = kept[0] if kept else low if total >= min_size else None
+                inside = [z for x in small for z in members.pop(x, (x,))]
+                if into is None:
+                    members[p], size[p], name[p] = inside, total, low
+                else:
+                    fate += [(z, into, 0, at) for z in inside]
+                    base[p] = into
+        for p, inside in members.items():
+            fate += [(z, name[p], size[p], None) for z in inside]
+        if fate:
+            z, b, k, at = zip(*fate)
+            yield pa.RecordBatch.from_arrays([pa.array(key[0][list(z)]), pa.array(b, pa.int64()), pa.array(k, pa.int64()), pa.array(at, pa.float64())], ["a", "b", "n", "w"])
+
+    return run
+
+
+def _come_in_at_once(tagged: DataFrame, min_size: int) -> DataFrame:
+    """What _come_in gives if all edges of a group have one weight, by aggregation."""
+    ends = tagged.select("r", "w", F.col("u").alias("a"), F.col("nu").alias("n")).unionAll(tagged.select("r", "w", "v", "nv")).distinct()
+    g = ends.groupBy("r").agg(F.min(F.when(F.col("n") == 0, F.col("a"))).alias("base"), F.sum("n").alias("total"), F.min(F.when(F.col("n") > 0, F.col("a"))).alias("low"))
+    into = F.coalesce("base", F.when(F.col("total") >= min_size, F.col("low")))
+    g = g.select("r", F.coalesce(into, "low").alias("b"), F.when(into.isNull(), F.col("total")).otherwise(0).alias("k"))
+    return ends.where("n > 0").join(g, "r").select("a", "b", F.col("k").alias("n"), F.when(F.col("k") == 0, F.col("w")).alias("w"))
+
+
+def bases(s: Scratch, forest: DataFrame, min_size: int, most_edges: int = MOST_EDGES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Where the vertices of a spanning forest first are in a component of min_size, and the edges that join such components.
+
+    Returns (id, base, w), w being the weight at which the vertex came into the base, (id, component) of vertices that come
+    into none, and edges (u, v, w) between bases. As a base only takes in what hangs on it, the forest falls apart at it:
+    each part goes on by itself, so the rounds don't grow with the components. A part of more than most_edges edges is worked
+    on up to a smaller weight, the others meanwhile further.
+    """
+    one = F.lit(1).cast("long")
+    e = s.put(forest.select(F.col("a").alias("u"), F.col("b").alias("v"), "w", one.alias("nu"), one.alias("nv")).where("u <> v"), "order")
+    v = s.put(forest.select(F.col("a").alias("id")).unionAll(forest.select("b")).distinct().withColumn("c", F.col("id")), "vertices")
+    placed, core = [], []
+    while left := e.count():
+        parts = max(8, -(-left // most_edges))
+        now, fates = e, []
+        if left > most_edges:
+            now = e.where(F.col("w") <= e.agg(F.percentile_approx("w", 0.5, 10_000)).first()[0])
+        while True:
+            root = communities.connected(s, now.where("nu > 0 and nv > 0").select("u", "v")).toDF("c", "r")
+            own = now.withColumn("c", F.when(F.col("nu") > 0, F.col("u")).otherwise(F.col("v")))
+            tagged = s.put(own.join(root, "c", "left").select(F.coalesce("r", "c").alias("r"), "u", "v", "w", "nu", "nv"), "now")
+            big = s.put(tagged.groupBy("r").agg(F.count("*").alias("n"), F.min("w").alias("least"), F.max("w").alias("most")).where(F.col("n") > most_edges), "big")
+            small = tagged.join(big.select("r"), "r", "left_anti")
+            fates.append(s.put(small.repartition(parts, "r").mapInArrow(_come_in(min_size), FATE), "fate"))
+            if big.isEmpty():
+                break
+            equal = big.where("least = most").select("r")
+            if not equal.isEmpty():
+                fates.append(s.put(_come_in_at_once(tagged.join(equal, "r", "left_semi"), min_size), "fate"))
+            # each of the others up to the middle of its own weights, or to its least if that leaves them as they are
+            more = tagged.join(big.where("least < most").select("r", "least", "most"), "r")
+            half = more.groupBy("r").agg(F.percentile_approx("w", 0.5, 10_000).alias("half"))
+            more = more.join(half, "r").where(F.col("w") <= F.when(F.col("half") < F.col("most"), F.col("half")).otherwise(F.col("least")))
+            now = s.put(more.select("u", "v", "w", "nu", "nv"), "now")
+            s.drop(tagged)
+            if now.isEmpty():
+                break
+        fate = fates[0]
+        for f in fates[1:]:
+            fate = fate.unionByName(f)
+        to = fate.select(F.col("a").alias("c"), "b", "n", F.col("w").alias("at"))
+        moved = s.put(v.join(to, "c", "left").select("id", F.coalesce("b", "c").alias("c"), "n", "at"), "vertices")
+        placed.append(moved.where("n = 0").select("id", F.col("c").alias("base"), F.col("at").alias("w")))
+        v = moved.where("n is null or n > 0").select("id", "c")
+        end = lambda x: to.select(F.col("c").alias(x), F.col("b").alias(f"b{x}"), F.col("n").alias(f"m{x}"))
+        named = lambda x: [F.coalesce(f"b{x}", x).alias(x), F.coalesce(f"m{x}", f"n{x}").alias(f"n{x}")]
+        nxt = s.put(e.join(end("u"), "u", "left").join(end("v"), "v", "left").select(*named("u"), *named("v"), "w").where("u <> v"), "order")
+        core.append(nxt.where("nu = 0 and nv = 0").select("u", "v", "w"))
+        e = nxt.where("nu > 0 or nv > 0").select("u", "v", "w", "nu", "nv")
+    spark = forest.sparkSession
+    at, joins = spark.createDataFrame([], "id long, base long, w double"), spark.createDataFrame([], "u long, v long, w double")
+    for x in placed:
+        at = at.unionByName(x)
+    for x in core:
+        joins = joins.unionByName(x)
+    return s.put(at, "placed"), v.select("id", F.col("c").alias("component")), s.put(joins, "core")
+
+
+STEP_OUT = "kind byte, a long, b long, x double, size long, below double, self boolean, w double"
+COMPONENT, EDGE_ROW, GAIN = 0, 1, 2
+ALIVE, CLOSED = 0, 2
+
+
+def _join_up(eps: float):
     """Kernel: components and the edges that join them to what they become, in order of weight.
 
-    Rows of a task are whole groups of components that its edges connect. Out come the components that are left
-    (ALIVE: name, node, s1, size, below), the components that came into a node (ABSORBED: component, node, density), and
-    the nodes that ended in another (CLOSED: node, parent, own stability, size, whether it is at least as stable as the
-    best below it). A node is named after the component that it begins in, or that ends with it: 2 c, or 2 c + 1.
+    Rows of a task are whole groups of components that its edges connect, and what their nodes gain later (GAIN: size and
+    s1 of a node). Out come the components that are left (ALIVE: name, node, s1, size, below) and the nodes that ended in
+    another (CLOSED: node, parent, own stability, size, whether it is at least as stable as the best below it, weight). A
+    node is named after the base that it begins as, or the component that ends with it: 2 c, or 2 c + 1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,18 +429,17 @@ def _join_up(min_size: int, eps: float):
         if t is None:
             return
         kind, a, b, w = (t.column(c).to_numpy() for c in ("kind", "a", "b", "w"))
-        is_edge = kind == EDGE_ROW
-        ids, inv = np.unique(np.r_[a, b[is_edge]], return_inverse=True)
+        e, c, g = (np.flatnonzero(kind == k) for k in (EDGE_ROW, COMPONENT, GAIN))
+        col = lambda name, rows: t.column(name).to_numpy()[rows].tolist()
+        gains = dict(zip(col("node", g), zip(col("size", g), col("s1", g))))
+        ids, inv = np.unique(a[c], return_inverse=True)
         n = len(ids)
-        size, node, s1, below = np.ones(n, np.int64), np.full(n, -1, np.int64), np.zeros(n), np.zeros(n)
-        c = np.flatnonzero(~is_edge)
-        for out, name in ((size, "size"), (node, "node"), (s1, "s1"), (below, "below")):
-            out[inv[c]] = t.column(name).to_numpy()[c]
-        e = np.flatnonzero(is_edge)
-        order = np.argsort(w[e], kind="stable")
-        u, v, w = inv[e][order].tolist(), inv[len(a) :][order].tolist(), w[e][order].tolist()
-        name, size, node, s1, below = ids.tolist(), size.tolist(), node.tolist(), s1.tolist(), below.tolist()
-        parent, members = list(range(n)), {}
+        size, node, s1, below = [0] * n, [0] * n, [0.0] * n, [0.0] * n
+        for i, *x in zip(inv.tolist(), col("size", c), col("node", c), col("s1", c), col("below", c)):
+            size[i], node[i], s1[i], below[i] = int(x[0]), int(x[1]), x[2], x[3]
+        e = e[np.argsort(w[e], kind="stable")]
+        u, v, w = np.searchsorted(ids, a[e]).tolist(), np.searchsorted(ids, b[e].astype(np.int64)).tolist(), w[e].tolist()
+        name, parent = ids.tolist(), list(range(n))
 
         def find(i: int) -> int:
             while parent[i] != i:
@@ -321,7 +447,7 @@ def _join_up(min_size: int, eps: float):
                 i = parent[i]
             return i
 
-        absorbed, closed = [], []
+        closed = []
         i, m = 0, len(w)
         while i < m:
             at, parts = w[i], {}
@@ -338,84 +464,54 @@ def _join_up(min_size: int, eps: float):
                     size[p] += size[q]
             density = 1.0 / (at + eps)
             for p, old in parts.items():
-                kept = [x for x in old if node[x[0]] >= 0]
-                names = min(name[x] for x, _ in old)
-                small = [x for x in old if node[x[0]] < 0]
-                if not kept and size[p] < min_size:
-                    members[p] = [z for x, _ in small for z in members.pop(x, (x,))]
-                    name[p] = names
-                    continue
-                if len(kept) == 1:
-                    k = kept[0][0]
-                    now, s, low = node[k], s1[k] + density * sum(x for _, x in small), below[k]
-                else:
-                    now = 2 * max(name[x] for x, _ in kept) + 1 if kept else 2 * names
-                    s, low = size[p] * density, 0.0
-                    for x, n_x in kept:
-                        own = s1[x] - n_x * density
-                        closed.append((node[x], now, own, n_x, own >= below[x]))
-                        low += max(own, below[x])
-                for x, _ in small:
-                    absorbed += [(ids[z], now, density) for z in members.pop(x, (x,))]
-                node[p], s1[p], below[p], name[p] = now, s, low, names
-        cols = ["kind", "a", "b", "x", "size", "below", "self"]
-
-        def rows(kind: int, a, b, x, size=None, below=None, self=None) -> pa.RecordBatch:
+                now, low = 2 * max(name[x] for x, _ in old) + 1, 0.0
+                more, s = gains.get(now, (0, 0.0))
+                for x, n_x in old:
+                    own = s1[x] - n_x * density
+                    closed.append((node[x], now, own, n_x, own >= below[x], at))
+                    low += max(own, below[x])
+                node[p], s1[p], below[p], name[p] = now, size[p] * density + s, low, min(name[x] for x, _ in old)
+                size[p] += int(more)
+        cols = ["kind", "a", "b", "x", "size", "below", "self", "w"]
+
+        def rows(kind: int, a, b, x, size, below=None, self=None, w=None) -> pa.RecordBatch:
             k = len(a)
             null = lambda v, ty: pa.nulls(k, ty) if v is None else pa.array(v, ty)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int8)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(x, pa.float64()), null(size, pa.int64()), null(below, pa.float64()), null(self, pa.bool_())], cols)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int8)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(x, pa.float64()), pa.array(size, pa.int64()), null(below, pa.float64()), null(self, pa.bool_()), null(w, pa.float64())], cols)
 
         left = [p for p in range(n) if parent[p] == p]
         pick = lambda col: [col[p] for p in left]
         yield rows(ALIVE, pick(name), pick(node), pick(s1), pick(size), pick(below))
-        if absorbed:
-            yield rows(ABSORBED, *zip(*absorbed))
         if closed:
-            node_, to, own, n_, self_ = zip(*closed)
-            yield rows(CLOSED, node_, to, own, n_, None, self_)
+            node_, to, own, n_, self_, at_ = zip(*closed)
+            yield rows(CLOSED, node_, to, own, n_, None, self_, at_)
 
     return run
 
 
-def _one_event(root: DataFrame, comp: DataFrame, density: float, min_size: int) -> DataFrame:
+def _one_event(root: DataFrame, comp: DataFrame, gains: DataFrame, weight: float, eps: float) -> DataFrame:
     """What _join_up gives if all edges have one weight, as joins and aggregations: no group meets in a task."""
-    c = root.join(comp, "c", "left").select("c", "r", F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("node", F.lit(-1)).alias("node"), F.coalesce("s1", F.lit(0.0)).alias("s1"), F.coalesce("below", F.lit(0.0)).alias("below"))
-    kept, own = F.col("node") >= 0, F.col("s1") - F.col("size") * density
-    g = c.groupBy("r").agg(F.sum("size").alias("total"), F.count_if(kept).alias("kept"), F.max(F.when(kept, F.col("c"))).alias("last"), F.max("node").alias("one"), F.sum(F.when(kept, F.col("s1"))).alias("one_s1"), F.sum(F.when(~kept, F.col("size"))).alias("small"), F.sum(F.when(kept, F.col("below"))).alias("one_below"), F.sum(F.when(kept, F.greatest(own, "below"))).alias("best"))
-    now = F.when(F.col("kept") == 1, F.col("one")).when(F.col("kept") > 1, F.col("last") * 2 + 1).when(F.col("total") >= min_size, F.col("r") * 2).otherwise(-1)
-    s1 = F.when(F.col("kept") == 1, F.col("one_s1") + F.coalesce("small", F.lit(0)) * density).when(F.col("now") >= 0, F.col("total") * density).otherwise(0.0)
-    below = F.when(F.col("kept") == 1, F.col("one_below")).otherwise(F.coalesce("best", F.lit(0.0)))
-    g = g.withColumn("now", now).select("r", "total", "kept", "now", s1.alias("g_s1"), below.alias("g_below"))
-    row = lambda df, kind, a, b, x, size=F.lit(None), low=F.lit(None), self=F.lit(None): df.select(F.lit(kind).cast("byte").alias("kind"), a.alias("a"), b.alias("b"), x.cast("double").alias("x"), size.cast("long").alias("size"), low.cast("double").alias("below"), self.cast("boolean").alias("self"))
-    j = c.join(g, "r")
-    return (
-        row(g, ALIVE, F.col("r"), F.col("now"), F.col("g_s1"), F.col("total"), F.col("g_below"))
-        .unionByName(row(j.where("node < 0 and now >= 0"), ABSORBED, F.col("c"), F.col("now"), F.lit(density)))
-        .unionByName(row(j.where("node >= 0 and kept > 1"), CLOSED, F.col("node"), F.col("now"), own, F.col("size"), F.lit(None), own >= F.col("below")))
-    )
-
-
-def hierarchy(s: Scratch, forest: DataFrame, min_cluster_size: int, end: float, most_edges: int = MOST_EDGES) -> tuple[DataFrame, DataFrame]:
-    """The condensed hierarchy of a spanning forest (a, b, w), up to the weight ``end``.
-
-    Returns nodes (node, parent, own, size, self, component) and vertices (id, component, node, density). From the
-    smallest weights up, components join along the edges. One that reaches min_cluster_size is a node of the
-    condensed tree, which goes on while it only gains smaller components; two or more that join make a new node. own is
-    the node's stability, the sum over its vertices of the density (1 / weight) at which each came in less that at which
-    the node ended; self says that it is at least as stable as the best choice below it. A vertex has the node that it
-    came into and the density at which it did, none if it never was in a component of min_cluster_size. component, of
-    vertices without a node and of nodes without a parent, is what ``end`` leaves: the smallest vertex of it.
-
-    The order of weights is worked on in steps: edges up to a weight, in components of at most most_edges edges, each in
-    one task; then these are contracted. Equal weights that join more are one event, made by aggregation.
+    density = 1.0 / (weight + eps)
+    c = comp.join(root, "c").select("c", "r", "size", "node", "s1", "below")
+    own = F.col("s1") - F.col("size") * density
+    g = c.groupBy("r").agg(F.sum("size").alias("total"), (F.max("c") * 2 + 1).alias("now"), F.sum(F.greatest(own, "below")).alias("best"))
+    g = g.join(gains.toDF("now", "n", "d"), "now", "left")
+    row = lambda df, kind, a, b, x, size, low, self, w: df.select(F.lit(kind).cast("byte").alias("kind"), a.alias("a"), b.alias("b"), x.cast("double").alias("x"), size.cast("long").alias("size"), low.cast("double").alias("below"), self.cast("boolean").alias("self"), w.cast("double").alias("w"))
+    none = F.lit(None)
+    alive = row(g, ALIVE, F.col("r"), F.col("now"), F.col("total") * density + F.coalesce("d", F.lit(0.0)), F.col("total") + F.coalesce("n", F.lit(0)), F.col("best"), none, none)
+    return alive.unionByName(row(c.join(g, "r"), CLOSED, F.col("node"), F.col("now"), own, F.col("size"), none, own >= F.col("below"), F.lit(weight)))
+
+
+def _merged(s: Scratch, core: DataFrame, comp: DataFrame, gains: DataFrame, eps: float, most_edges: int) -> tuple[DataFrame, DataFrame]:
+    """What bases (c, size, node, s1, below) and the edges (u, v, w) between them come to: (the same of what is left, closed nodes).
+
+    gains (node, n, d) are the vertices that come in after a node has begun, and the sum of their densities. Edges are
+    worked on up to a weight, in components of at most most_edges edges, each in one task; then these are contracted.
+    Equal weights that join more are one event, made by aggregation.
     """
-    spark = forest.sparkSession
-    eps = end / 1000
-    e = s.put(forest.select(F.col("a").alias("u"), F.col("b").alias("v"), "w"), "order")
-    v = s.put(e.select(F.col("u").alias("id")).unionAll(e.select("v")).distinct().withColumn("c", F.col("id")), "vertices")
-    comp = spark.createDataFrame([], "c long, size long, node long, s1 double, below double")
-    closed, done = [], []
-    left = e.count()
+    where = comp.select(F.col("c").alias("base"), "c")
+    closed = comp.sparkSession.createDataFrame([], "node long, parent long, own double, size long, self boolean, w double")
+    e, left = core, core.count()
     while left:
         t, event = None, False
         if left > most_edges:
@@ -433,32 +529,107 @@ def hierarchy(s: Scratch, forest: DataFrame, min_cluster_size: int, end: float,
             t = lower if lower < t else least
             s.drop(root, tagged)
         if event:
-            out = _one_event(root, comp, 1.0 / (t + eps), min_cluster_size)
+            out = _one_event(root, comp, gains, t, eps)
         else:
             null = lambda ty: F.lit(None).cast(ty)
-            rows = tagged.select("r", F.lit(EDGE_ROW).cast("byte").alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), "w", null("long").alias("size"), null("long").alias("node"), null("double").alias("s1"), null("double").alias("below"))
-            rows = rows.unionByName(comp.join(root, "c").select("r", F.lit(COMPONENT).cast("byte").alias("kind"), F.col("c").alias("a"), null("long").alias("b"), null("double").alias("w"), "size", "node", "s1", "below"))
-            parts = max(8, -(-left // most_edges))
-            out = rows.repartition(parts, "r").mapInArrow(_join_up(min_cluster_size, eps), STEP_OUT)
+            kind = lambda k: F.lit(k).cast("byte").alias("kind")
+            rows = tagged.select("r", kind(EDGE_ROW), F.col("u").alias("a"), F.col("v").alias("b"), "w", null("long").alias("size"), null("long").alias("node"), null("double").alias("s1"), null("double").alias("below"))
+            rows = rows.unionByName(comp.join(root, "c").select("r", kind(COMPONENT), F.col("c").alias("a"), null("long").alias("b"), null("double").alias("w"), "size", "node", "s1", "below"))
+            later = gains.where("node % 2 <> 0").withColumn("base", F.shiftright("node", 1)).join(where, "base").join(root, "c")
+            rows = rows.unionByName(later.select("r", kind(GAIN), F.col("base").alias("a"), null("long").alias("b"), null("double").alias("w"), F.col("n").alias("size"), "node", F.col("d").alias("s1"), null("double").alias("below")))
+            out = rows.repartition(max(8, -(-left // most_edges)), "r").mapInArrow(_join_up(eps), STEP_OUT)
         out = s.put(out, "step")
-        new = out.where(f"kind = {ALIVE} and size > 1").select(F.col("a").alias("c"), "size", F.col("b").alias("node"), F.col("x").alias("s1"), "below")
+        new = out.where(f"kind = {ALIVE}").select(F.col("a").alias("c"), "size", F.col("b").alias("node"), F.col("x").alias("s1"), "below")
         comp = s.put(comp.join(root, "c", "left_anti").unionByName(new), "components")
-        closed.append(out.where(f"kind = {CLOSED}").select(F.col("a").alias("node"), F.col("b").alias("parent"), F.col("x").alias("own"), "size", "self"))
-        came = out.where(f"kind = {ABSORBED}").select(F.col("a").alias("c"), F.col("b").alias("node"), F.col("x").alias("density"))
-        moved = s.put(v.join(root.join(came, "c", "left"), "c", "left").select("id", F.coalesce("r", "c").alias("c"), "node", "density"), "vertices")
-        done.append(moved.where("node is not null").select("id", "node", "density"))
-        v = moved.where("node is null").select("id", "c")
+        closed = closed.unionByName(out.where(f"kind = {CLOSED}").select(F.col("a").alias("node"), F.col("b").alias("parent"), F.col("x").alias("own"), "size", "self", "w"))
+        where = s.put(where.join(root, "c", "left").select("base", F.coalesce("r", "c").alias("c")), "where")
         if t is None:
             break
         e = s.put(e.where(F.col("w") > t).join(root.toDF("u", "ru"), "u", "left").join(root.toDF("v", "rv"), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"), "w"), "order")
         left = e.count()
+    return comp, closed
+
+
+def _nodes_of(s: Scratch, placed: DataFrame, closed: DataFrame) -> DataFrame:
+    """(id, node, w): the node that is open at the weight at which a vertex came into its base: at or above the base's own.
+
+    By steps of halving length along the nodes' parents, so in as many rounds as the binary logarithm of the depth.
+    """
+    up = [s.put(closed.select("node", "parent", F.col("w").alias("end")), "up")]  # end: the weight at which the last node passed ends
+    while True:
+        u = up[-1]
+        nxt = s.put(u.join(u.toDF("parent", "next", "end2"), "parent").select("node", F.col("next").alias("parent"), F.col("end2").alias("end")), "up")
+        if nxt.isEmpty():
+            break
+        up.append(nxt)
+    at = placed.select("id", (F.col("base") * 2).alias("node"), "w")
+    first = up[0].select("node", "end")
+    at = s.put(at.join(first, "node", "left").select("id", "node", "w", (F.coalesce("end", F.lit(float("inf"))) <= F.col("w")).alias("on")), "at")
+    still = at.where("not on").select("id", "node", "w")
+    go = at.where("on").select("id", "node", "w")
+    for u in reversed(up):
+        go = s.put(go.join(u, "node", "left").select("id", F.when(F.col("end") <= F.col("w"), F.col("parent")).otherwise(F.col("node")).alias("node"), "w"), "at")
+    return s.put(still.unionByName(go), "at")
+
+
+def _nodes_in_tasks(placed: DataFrame, closed: DataFrame) -> DataFrame:
+    """_nodes_of where there are few closed nodes: all tasks get them."""
+    got = closed.select("node", "parent", "w").toArrow()
+    node, to, w = (got.column(c).to_numpy() for c in ("node", "parent", "w"))
+    names, inv = np.unique(np.r_[node, to], return_inverse=True)
+    up, end = np.arange(len(names)), np.full(len(names), np.inf)
+    up[inv[: len(node)]], end[inv[: len(node)]] = inv[len(node) :], w
+    tree = placed.sparkSession.sparkContext.broadcast((names, up, end))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, up, end = tree.value
+        steps = [(up, end)]
+        while len(names) and np.isfinite(steps[-1][1][steps[-1][0]]).any():
+            u, e = steps[-1]
+            steps.append((u[u], e[u]))
+        for b in batches:
+            node, w = b.column("base").to_numpy() * 2, b.column("w").to_numpy()
+            at = np.searchsorted(names, node)
+            k = np.flatnonzero(names[np.minimum(at, len(names) - 1)] == node) if len(names) else np.empty(0, int)
+            at, wk = at[k], w[k]
+            for u, e in reversed(steps):
+                at = np.where(e[at] <= wk, u[at], at)
+            node[k] = names[at]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(node), b.column("w")], ["id", "node", "w"])
+
+    return placed.select("id", "base", "w").mapInArrow(run, "id long, node long, w double")
+
+
+def hierarchy(s: Scratch, forest: DataFrame, min_cluster_size: int, end: float, most_edges: int = MOST_EDGES) -> tuple[DataFrame, DataFrame]:
+    """The condensed hierarchy of a spanning forest (a, b, w), up to the weight ``end``.
+
+    Returns nodes (node, parent, own, size, self, component) and vertices (id, component, node, density). From the
+    smallest weights up, components join along the edges. One that reaches min_cluster_size is a node of the
+    condensed tree, which goes on while it only gains smaller components; two or more that join make a new node. own is
+    the node's stability, the sum over its vertices of the density (1 / weight) at which each came in less that at which
+    the node ended; self says that it is at least as stable as the best choice below it. A vertex has the node that it
+    came into and the density at which it did, none if it never was in a component of min_cluster_size. component, of
+    vertices without a node and of nodes without a parent, is what ``end`` leaves, named after one of its vertices.
+
+    First each vertex gets its base, which leaves a small tree of bases; its merges say which node each vertex came into,
+    and once these are summed up, the merges are gone through again for the stabilities.
+    """
+    eps = end / 1000
+    placed, alone, core = bases(s, forest, min_cluster_size, most_edges)
+    base = s.put(placed.select(F.col("base").alias("c")).distinct(), "bases")
+    start = base.select("c", F.lit(1).cast("long").alias("size"), (F.col("c") * 2).alias("node"), F.lit(0.0).alias("s1"), F.lit(0.0).alias("below"))
+    none = forest.sparkSession.createDataFrame([], "node long, n long, d double")
+    closed = s.put(_merged(s, core, start, none, eps, most_edges)[1], "merges")
+    few = closed.count() <= communities.IN_ONE_TASK
+    at = (s.put(_nodes_in_tasks(placed, closed), "at") if few else _nodes_of(s, placed, closed)).withColumn("density", 1.0 / (F.col("w") + eps))
+    gains = s.put(at.groupBy("node").agg(F.count("*").alias("n"), F.sum("density").alias("d")), "gains")
+    start = s.put(start.select("c", "node", "below").join(gains, "node").select("c", F.col("n").alias("size"), "node", F.col("d").alias("s1"), "below"), "start")
+    comp, closed = _merged(s, core, start, gains, eps, most_edges)
     own = F.col("s1") - F.col("size") / (end + eps)
-    nodes = comp.where("node >= 0").select("node", F.lit(None).cast("long").alias("parent"), own.alias("own"), "size", (own >= F.col("below")).alias("self"), F.col("c").alias("component"))
-    for c in closed:
-        nodes = nodes.unionByName(c.withColumn("component", F.lit(None).cast("long")))
-    vertices = v.select("id", F.col("c").alias("component"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("density"))
-    for d in done:
-        vertices = vertices.unionByName(d.withColumn("component", F.lit(None).cast("long")).select("id", "component", "node", "density"))
+    nodes = comp.select("node", F.lit(None).cast("long").alias("parent"), own.alias("own"), "size", (own >= F.col("below")).alias("self"), F.col("c").alias("component"))
+    nodes = nodes.unionByName(closed.drop("w").withColumn("component", F.lit(None).cast("long")))
+    vertices = alone.select("id", "component", F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("density"))
+    vertices = vertices.unionByName(at.select("id", F.lit(None).cast("long").alias("component"), "node", "density"))
     return s.put(nodes, "tree"), s.put(vertices, "placed")
 
 

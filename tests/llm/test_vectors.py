@@ -223,6 +223,23 @@ def test_hierarchy_of_equal_weights(spark):
         assert sorted(map(len, cut.values())) == [2, 120]
 
 
+def test_rounds_do_not_grow_with_a_component(spark, monkeypatch):
+    """What hangs on a large component comes in at once, however many edges that has."""
+    calls, connected = [], communities.connected
+
+    def counted(*args):
+        calls.append(1)
+        assert len(calls) < 20
+        return connected(*args)
+
+    monkeypatch.setattr(communities, "connected", counted)
+    e = spark.createDataFrame([(0, i, 0.5 + i / 1000) for i in range(1, 400)], "a long, b long, w double")
+    nodes, vertices = density.hierarchy(Scratch(spark, "test"), e, 20, 2.0, 20)
+    assert [(r["size"], r["parent"]) for r in nodes.collect()] == [(400, None)]
+    got = {r["id"]: r["density"] for r in vertices.collect()}
+    assert set(got) == set(range(400)) and all(abs(got[i] - 1 / (0.5 + max(i, 19) / 1000 + 0.002)) < 1e-9 for i in got)
+
+
 def test_chain_of_knots_and_copies(spark):
     rng = np.random.default_rng(11)
     knots = np.concatenate([rng.normal(0, 1e-3, (8, 4)) + [0.9 * i, 0, 0, 0] for i in range(2)])
